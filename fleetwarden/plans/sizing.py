@@ -1,0 +1,34 @@
+"""Is one side of a join small enough to be broadcast?
+
+Nothing in this package hints a broadcast without this check.  The first test is
+the one Catalyst applies itself (estimated bytes against
+``spark.sql.autoBroadcastJoinThreshold``).  The estimate of an aggregated table is
+that of the table it came from, so a second test counts the rows: fleet tables have
+short, fixed-width rows (ids of at most 50 characters and numbers), which bounds
+the bytes.  Callers have another plan for sides that pass neither.
+"""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROW_LIMIT = 1_000_000
+
+
+def estimated_small(side: DataFrame) -> bool:
+    """True when Catalyst will broadcast ``side`` of its own accord."""
+    try:
+        size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        limit = side.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    except AttributeError:
+        return False
+    return size <= limit
+
+
+def broadcastable(side: DataFrame, row_limit: int | None = None) -> DataFrame | None:
+    """``side`` ready for a broadcast join, or None when its size is not proven small."""
+    if estimated_small(side):
+        return side
+    limit = BROADCAST_ROW_LIMIT if row_limit is None else row_limit
+    if limit > 0 and side.count() <= limit:
+        return F.broadcast(side)
+    return None
