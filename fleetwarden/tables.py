@@ -3,8 +3,10 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fleetwarden import schemas
+from fleetwarden.sources import warehouse
 
 STORED = {
     "machines": schemas.MACHINES,
@@ -15,6 +17,8 @@ STORED = {
     "maintenance_effectiveness": schemas.MAINTENANCE_EFFECTIVENESS,
 }
 
+DATED = ("sensor_data", "machine_health_indicators")
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -41,3 +45,19 @@ class Tables:
                 for name, schema in STORED.items()
             }
         )
+
+    @classmethod
+    def from_warehouse(cls, spark: SparkSession, root: str) -> "Tables":
+        """The tables as :func:`fleetwarden.operators.ingest.run_etl` writes them."""
+        loads = {
+            name: warehouse.read_loads(spark, root, name, _without_sensor_name(schema), name in DATED)
+            for name, schema in STORED.items()
+            if name not in ("machines", "maintenance_effectiveness")
+        }
+        machines = warehouse.read_current(spark, root, "machines", schemas.MACHINES)
+        return cls.empty(spark, machines=machines, **loads)
+
+
+def _without_sensor_name(schema: T.StructType) -> T.StructType:
+    """The telemetry feed does not name the sensor."""
+    return T.StructType([field for field in schema if field.name != "Sensor_Name"])
