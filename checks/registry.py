@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from checks.pipeline_checks import INGEST, MODEL, STREAMS, TRAINED
+from checks.presentation_checks import SCREENS
 from checks.report_checks import REPORTS
 from checks.sample import oracle_prefix, sample_tables
 
@@ -15,9 +17,12 @@ def _over_tables(operator) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _over_tables(operator) for name, (operator, _) in REPORTS.items()}
+    found = {name: _over_tables(operator) for name, (operator, _) in (REPORTS | SCREENS).items()}
+    found |= {name: query for name, (query, _) in (INGEST | MODEL | STREAMS).items()}
+    return found | TRAINED
 
 
 def oracle_sql() -> dict[str, str]:
     prefix = oracle_prefix()
-    return {name: prefix + text for name, (_, text) in REPORTS.items()}
+    texts = REPORTS | SCREENS | INGEST | MODEL | STREAMS
+    return {name: prefix + text for name, (_, text) in texts.items()}

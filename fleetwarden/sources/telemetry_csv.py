@@ -80,6 +80,7 @@ def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_telemetry_csv(telemetry: DataFrame, path: str) -> None:
     """Write telemetry rows as CSV files with the header of the wide feed."""
-    telemetry.select(
-        *[F.col(known).alias(name) for name, known in TELEMETRY_HEADERS.items()]
-    ).write.option("header", True).csv(path)
+    named = [F.col(known).alias(name) for name, known in TELEMETRY_HEADERS.items()]
+    telemetry.select(*named).write.option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    ).csv(path)

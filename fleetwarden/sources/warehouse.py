@@ -6,7 +6,6 @@ The machine table is rewritten as a whole: each write is a new ``version`` and
 readers take the highest, so a version is never overwritten while it is read.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +28,9 @@ def write_counted(frame: DataFrame, path: str, *partitions: str) -> int:
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return spark.read.schema(schema).parquet(path) if files.exists(location) else None
 
 
 def _with_partitions(schema: T.StructType, dated: bool) -> T.StructType:
