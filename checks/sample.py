@@ -4,6 +4,8 @@ The text of each view runs in Spark SQL and in DuckDB; only the ``{table}`` name
 filled in, with a DataFrame or a view name.  All measures sit on a dyadic grid, so sums are exact in any order and both engines agree bit for bit.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwarden.tables import Tables
@@ -96,18 +98,18 @@ FROM {maintenance_schedule}""",
 }
 
 
-# One failure record per machine, and the wide telemetry feed: a reading with the
+# The last failure record of a machine (ids can repeat), and the wide telemetry feed: a reading with the
 # attributes of its machine and its failure record repeated on every row.  Operating
 # hours grow from reading to reading, so the last row of a machine differs from others.
 LAST_FAILURE = """
-SELECT Machine_ID, Failure_Status, Failure_Type, Downtime, Predicted_Failure_Probability,
-  Predicted_Failure_Time
-FROM (SELECT *, row_number() OVER (PARTITION BY Machine_ID
-    ORDER BY Failure_ID DESC, Failure_Status DESC, Failure_Type DESC NULLS LAST, Downtime DESC,
-      Predicted_Failure_Probability DESC NULLS LAST,
-      Predicted_Failure_Time DESC NULLS LAST) AS place
-  FROM {failure_records}) AS ranked
-WHERE place = 1"""
+SELECT f.Machine_ID, max(f.Failure_Status) AS Failure_Status, max(f.Failure_Type) AS Failure_Type,
+  max(f.Downtime) AS Downtime,
+  max(f.Predicted_Failure_Probability) AS Predicted_Failure_Probability,
+  max(f.Predicted_Failure_Time) AS Predicted_Failure_Time
+FROM {failure_records} f
+JOIN (SELECT Machine_ID, max(Failure_ID) AS last_id FROM {failure_records} GROUP BY Machine_ID) l
+  ON f.Machine_ID = l.Machine_ID AND f.Failure_ID = l.last_id
+GROUP BY f.Machine_ID"""
 
 WIDE_TELEMETRY = """
 SELECT s.Machine_ID, m.Machine_Type, m.Installation_Date, m.Age, m.Workload, m.Production_Rate,
@@ -129,7 +131,9 @@ def sample_views(spark: SparkSession, raw: dict[str, DataFrame]) -> dict[str, Da
     return frames
 
 
+@lru_cache(maxsize=8)
 def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The sample views over one scale folder; plans only, no data is kept."""
     raw_tables = ("part", "events", "lineitem", "orders")
     raw = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in raw_tables}
     frames = sample_views(spark, raw)

@@ -88,13 +88,19 @@ def fit_features(telemetry: DataFrame, numeric: tuple[str, ...] = NUMERIC) -> Fe
     where there are gaps, else the first in alphabetical order.  Levels become
     columns, so a column with more than ``MAX_LEVELS`` of them is an error.
     """
+    long_form = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.col(name).alias("level")) for name in CATEGORICAL]
+    )
+    distinct = telemetry.select(F.inline(long_form)).distinct()
+    found: dict[str, list] = {name: [] for name in CATEGORICAL}
+    for name, level in distinct.limit(len(CATEGORICAL) * MAX_LEVELS + 1).collect():
+        found[name].append(level)
     levels = {}
-    for name in CATEGORICAL:
-        distinct = telemetry.select(name).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(distinct) > MAX_LEVELS:
+    for name, values in found.items():
+        if len(values) > MAX_LEVELS:
             raise ValueError(f"{name} has more than {MAX_LEVELS} categories")
-        known = sorted(row[0] for row in distinct if row[0] is not None)
-        has_gaps = len(known) < len(distinct)
+        known = sorted(level for level in values if level is not None)
+        has_gaps = len(known) < len(values)
         levels[name] = tuple(known if has_gaps else known[1:])
     return FeatureSpec(tuple(numeric), levels)
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fleetwarden.functions.risk import (
     MACHINE_TYPES,
     MAINTENANCE_TYPES,
-    UNKNOWN,
     WORKLOADS,
     failure_reasons,
     known_or_unknown,
@@ -45,19 +44,21 @@ REQUIRED = (*NUMBERS, *CATEGORIES)
 NOT_JSON = "Request must be JSON"
 
 
-def _missing() -> Column:
-    absent = F.array_compact(
-        F.array(
-            *[F.when(~F.map_contains_key("_fields", name), F.lit(name)) for name in REQUIRED]
-        )
-    )
-    return F.when(F.size(absent) > 0, F.concat(F.lit("Missing fields: "), F.array_join(absent, ", ")))
+_FIELDS = ", ".join(f"{name} string" for name in REQUIRED)
 
 
-def _first_problem(test, what: str) -> Column:
-    return F.coalesce(
-        *[F.when(test(name), F.lit(f"Invalid value for {name}: {what}")) for name in NUMBERS]
-    )
+def _names(names) -> Column:
+    return F.array(*[F.lit(name) for name in names])
+
+
+def _first_true(tests: Column) -> Column:
+    """Place, from 1, of the first number whose test is true; 0 when there is none."""
+    return F.array_position(tests, True)
+
+
+def _invalid(place: str, problem: str) -> Column:
+    name = F.get(_names(NUMBERS), F.col(place) - 1)
+    return F.concat(F.lit("Invalid value for "), name, F.lit(f": {problem}"))
 
 
 def parse_requests(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -66,27 +67,47 @@ def parse_requests(lines: DataFrame, text: str = "value") -> DataFrame:
     A field that is absent, negative or not a number puts a message in ``error``; a
     null field takes its default (0 or ``Unknown``) and an unlisted category becomes
     ``Unknown``.  Nothing raises.  Other columns of ``lines`` are carried along.
+
+    Fields are read as text, and the keys apart from them: a typed read can tell
+    neither an absent field from a null one nor text from a number.
     """
-    parsed = lines.withColumn("_fields", F.from_json(text, "map<string,string>"))
-    raw = {name: F.col("_fields")[name] for name in REQUIRED}
-    typed = parsed.select(
+    parsed = lines.select(
         *lines.columns,
-        "_fields",
-        *[raw[n].try_cast("double").alias(n) for n in NUMBERS],
-        *[F.coalesce(raw[n], F.lit(UNKNOWN)).alias(n) for n in CATEGORIES],
+        F.from_json(text, _FIELDS).alias("_request"),
+        F.json_object_keys(text).alias("_keys"),
+    )
+    texts = F.array(*[F.col("_request")[name] for name in NUMBERS])
+    typed = parsed.select(
+        "*",
+        texts.alias("_texts"),
+        F.transform(texts, lambda entry: entry.try_cast("double")).alias("_numbers"),
+    )
+    negative = F.transform("_numbers", lambda number: number < 0)
+    unreadable = F.zip_with(
+        "_texts",
+        "_numbers",
+        lambda entry, number: entry.isNotNull() & (number.isNull() | F.isnan(number)),
     )
-    negative = _first_problem(lambda n: F.col(n) < 0, "Must be non-negative")
-    unreadable = _first_problem(
-        lambda n: (raw[n].isNotNull() & F.col(n).isNull()) | F.isnan(n), "Must be a number"
+    tested = typed.select(
+        "*",
+        F.array_except(_names(REQUIRED), "_keys").alias("_absent"),
+        _first_true(negative).alias("_negative"),
+        _first_true(unreadable).alias("_unreadable"),
     )
-    error = F.when(F.col("_fields").isNull(), NOT_JSON).otherwise(
-        F.coalesce(_missing(), negative, unreadable)
+    error = (
+        F.when(F.col("_keys").isNull(), NOT_JSON)
+        .when(F.size("_absent") > 0, F.concat(F.lit("Missing fields: "), F.array_join("_absent", ", ")))
+        .when(F.col("_negative") > 0, _invalid("_negative", "Must be non-negative"))
+        .when(F.col("_unreadable") > 0, _invalid("_unreadable", "Must be a number"))
     )
-    return typed.select(
+    return tested.select(
         *lines.columns,
         error.alias("error"),
-        *[F.coalesce(n, F.lit(0.0)).alias(n) for n in NUMBERS],
-        *[known_or_unknown(F.col(n), known).alias(n) for n, (_, known) in CATEGORIES.items()],
+        *[F.coalesce(F.col("_numbers")[i], F.lit(0.0)).alias(n) for i, n in enumerate(NUMBERS)],
+        *[
+            known_or_unknown(F.col("_request")[name], known).alias(name)
+            for name, (_, known) in CATEGORIES.items()
+        ],
     )
 
 

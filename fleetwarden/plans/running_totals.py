@@ -21,7 +21,8 @@ def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFra
     """
     probabilities = [i / RANGES for i in range(1, RANGES)]
     cuts = sorted(set(rows.approxQuantile(order, probabilities, 1 / (4 * RANGES))))
-    splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+    finite = [c for c in cuts if abs(c) != float("inf")] or [0.0]
+    splits = [float("-inf"), *finite, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(rows)
 
     summary = ranged.groupBy("_range").agg(
