@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetwarden.functions.clock import AsOf, instant
 from fleetwarden.functions.risk import is_critical, percent
 from fleetwarden.functions.time_buckets import HOUR_KEYS, day_label, hour_keys, hour_label
-from fleetwarden.plans.day_filters import latest_day, since
+from fleetwarden.plans.day_filters import PARTITION, latest_day, newest_days, since
 from fleetwarden.plans.joins import MACHINE, rows_matching, with_dimension
 from fleetwarden.plans.sizing import broadcastable
 from fleetwarden.tables import Tables
@@ -20,7 +20,8 @@ COMPARED_SENSORS = ("Pressure", "Temperature", "Vibration")
 def sensor_recent(t: Tables) -> DataFrame:
     """The latest readings."""
     return (
-        t.sensor_data.orderBy(F.desc("Timestamp"), F.desc("Sensor_ID"))
+        newest_days(t.sensor_data, FEED_ROWS)
+        .orderBy(F.desc("Timestamp"), F.desc("Sensor_ID"))
         .limit(FEED_ROWS)
         .select(
             MACHINE,
@@ -38,8 +39,12 @@ def sensor_recent(t: Tables) -> DataFrame:
 
 def health_indicators_recent(t: Tables) -> DataFrame:
     """The latest health rows of known machines."""
+    health = t.machine_health_indicators
+    if PARTITION in health.columns:
+        known = with_dimension(health.select(MACHINE, PARTITION), t.machines, [])
+        health = newest_days(health, HEALTH_ROWS, known)
     return (
-        with_dimension(t.machine_health_indicators, t.machines, ["Machine_Type"])
+        with_dimension(health, t.machines, ["Machine_Type"])
         .orderBy(F.desc("Timestamp"), F.desc("Health_ID"))
         .limit(HEALTH_ROWS)
         .select(MACHINE, "Machine_Type", "Health_Score", "Failure_Probability", "Timestamp")

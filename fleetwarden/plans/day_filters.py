@@ -5,7 +5,7 @@ Tables stored with an ``event_date`` partition get the same bound on it, so whol
 days are skipped without opening a file.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTITION = "event_date"
@@ -29,3 +29,24 @@ def latest_day(readings: DataFrame) -> DataFrame:
         return readings.where(F.col(PARTITION) == newest)
     newest = readings.agg(F.to_date(F.max("Timestamp")).alias("d")).scalar()
     return readings.where(F.col("Timestamp") >= newest)
+
+
+def newest_days(readings: DataFrame, wanted: int, counted: DataFrame | None = None) -> DataFrame:
+    """Readings of the newest days that together hold ``wanted`` rows, for a top list.
+
+    Only tables with the day partition are cut down.  Rows per day are counted first,
+    which opens no column of ``readings``; ``counted`` may stand in for it when only
+    some rows qualify.  With fewer than ``wanted`` rows every day is kept, and so are
+    rows without a time.
+    """
+    if PARTITION not in readings.columns:
+        return readings
+    source = readings if counted is None else counted
+    per_day = source.where(F.col(PARTITION).isNotNull()).groupBy(PARTITION).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    # One row per day: the window grows with time, not with the readings.
+    so_far = F.sum("_rows").over(Window.orderBy(F.desc(PARTITION)))
+    cut = per_day.withColumn("_so_far", so_far).where(F.col("_so_far") >= wanted)
+    oldest = cut.agg(F.max(PARTITION).alias("d")).scalar()
+    return readings.where(oldest.isNull() | (F.col(PARTITION) >= oldest))

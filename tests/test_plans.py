@@ -11,6 +11,7 @@ from checks.report_checks import REPORTS
 from fleetwarden import Tables, schemas
 from fleetwarden.operators import failures, fleet, maintenance, sensors
 from fleetwarden.plans import sizing
+from fleetwarden.plans.day_filters import newest_days
 
 AS_OF = "2000-01-01"
 
@@ -25,11 +26,11 @@ def plan(frame):
 def stored(spark, small, tmp_path_factory):
     """The sample tables written as fleet tables, readings by day."""
     root = str(tmp_path_factory.mktemp("stored"))
-    for name in ("machines", "failure_records", "maintenance_schedule", "machine_health_indicators"):
+    for name in ("machines", "failure_records", "maintenance_schedule", "maintenance_effectiveness"):
         getattr(small, name).write.parquet(f"{root}/{name}")
-    small.maintenance_effectiveness.write.parquet(f"{root}/maintenance_effectiveness")
-    dated = small.sensor_data.selectExpr("*", "to_date(Timestamp) AS event_date")
-    dated.write.partitionBy("event_date").parquet(f"{root}/sensor_data")
+    for name in ("sensor_data", "machine_health_indicators"):
+        dated = getattr(small, name).selectExpr("*", "to_date(Timestamp) AS event_date")
+        dated.write.partitionBy("event_date").parquet(f"{root}/{name}")
     return Tables.from_parquet(spark, root)
 
 
@@ -93,10 +94,27 @@ def test_latest_day_prunes_partitions(stored):
     assert re.search(r"PartitionFilters: \[.*event_date#\d+ >= 2024-01-29", day)
 
 
+def test_latest_rows_come_from_the_newest_days(stored):
+    for operator in (sensors.sensor_recent, sensors.health_indicators_recent):
+        assert re.search(r"PartitionFilters: \[.*event_date#\d+ >= Subquery", plan(operator(stored)))
+    read = newest_days(stored.sensor_data, 40)
+    days = [r[0].day for r in read.select("event_date").distinct().collect()]
+    newest = stored.sensor_data.groupBy("event_date").count().orderBy("event_date", ascending=False)
+    total, expected = 0, []
+    for day, count in newest.collect():
+        if total < 40:
+            expected.append(day.day)
+        total += count
+    assert sorted(days) == sorted(expected)
+    assert newest_days(stored.sensor_data, 10**9).count() == stored.sensor_data.count()
+
+
 def test_partitioned_and_plain_readings_agree(stored, small, rows):
     for operator in (
         sensors.pressure_trend_latest_day,
         sensors.vibration_heatmap,
+        sensors.sensor_recent,
+        sensors.health_indicators_recent,
         lambda t: sensors.temperature_last_day(t, "2024-01-30 12:00:00"),
     ):
         assert rows(operator(stored)) == rows(operator(small))
