@@ -336,24 +336,20 @@ MODEL = {
 
 @lru_cache(maxsize=4)
 def _kept_model(spark: SparkSession, sf_dir: str) -> str:
-    """Train a small model on the telemetry, save it; returns its folder."""
-    telemetry = _telemetry(spark, sf_dir)
-    spec = features.fit_features(telemetry)
-    rows = features.training_rows(telemetry, spec, "Sensor_ID")
-    train, held_out = training.train_test_split(rows, "Sensor_ID")
-    model = training.train_failure_classifier(train, rounds=5, depth=4)
+    """Train a small model on the telemetry and keep it; returns its folder."""
     root = fresh_folder(spark, "model")
-    training.save_model(spark, root, model, spec, held_out)
+    training.train_and_keep(_telemetry(spark, sf_dir), root, "Sensor_ID", rounds=5, depth=4)
     return root
 
 
 def _held_out_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, held_out = training.load_model(spark, _kept_model(spark, sf_dir))
-    return training.scored(model, held_out)
+    root = _kept_model(spark, sf_dir)
+    model, _ = training.load_model(spark, root)
+    return training.scored(model, training.kept_rows(spark, root, held_out=True))
 
 
 def model_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, spec, _ = training.load_model(spark, _kept_model(spark, sf_dir))
+    model, spec = training.load_model(spark, _kept_model(spark, sf_dir))
     requests = sample_requests(_telemetry(spark, sf_dir))
     return scoring.batch_score(requests, model, spec).drop("value")
 

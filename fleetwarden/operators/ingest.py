@@ -147,6 +147,11 @@ def _default_load_id(path: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]", "_", posixpath.basename(path.rstrip("/")))
 
 
+def staged_telemetry(spark: SparkSession, root: str) -> DataFrame:
+    """The telemetry rows of all loads, good and corrupt."""
+    return warehouse.read_loads(spark, root, "telemetry", _STAGED)
+
+
 def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> DataFrame:
     """Parse the CSV once into Parquet and return the staged rows.
 
@@ -154,9 +159,7 @@ def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> DataF
     day, with large days split, so daily partitions get few and even files.
     Reading ids continue after those of the other loads.
     """
-    others = warehouse.read_loads(spark, root, "telemetry", _STAGED, dated=False).where(
-        F.col(warehouse.LOAD) != load_id
-    )
+    others = staged_telemetry(spark, root).where(F.col(warehouse.LOAD) != load_id)
     start = (others.agg(F.max("Reading_ID")).first()[0] or 0) + 1
     feed = (
         read_telemetry_csv(spark, csv_path)

@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwarden.operators.features import FeatureSpec
+from fleetwarden.operators.evaluation import classification_report
+from fleetwarden.operators.features import NUMERIC, FeatureSpec, fit_features, training_rows
 
 # Fixed values.
 TRAIN_PERCENT = 80
@@ -66,15 +67,46 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def save_model(
-    spark: SparkSession, root: str, model: PipelineModel, spec: FeatureSpec, held_out: DataFrame
-) -> None:
-    """Keep the model, its feature list and the held-out rows below ``root``."""
+def keep_rows(telemetry: DataFrame, spec: FeatureSpec, root: str, *key: str) -> None:
+    """Write feature rows once, split into ``held_out=false`` and ``held_out=true``.
+
+    Training goes over its rows many times; they are read back from this table instead
+    of being derived from the telemetry again each time.
+    """
+    rows = training_rows(telemetry, spec, *key).withColumn("held_out", ~in_training_part(*key))
+    rows.write.mode("overwrite").partitionBy("held_out").parquet(f"{root}/rows")
+
+
+def kept_rows(spark: SparkSession, root: str, held_out: bool) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.where(F.col("held_out") == F.lit(held_out)).drop("held_out")
+
+
+def save_model(spark: SparkSession, root: str, model: PipelineModel, spec: FeatureSpec) -> None:
+    """Keep the model and its feature list below ``root``."""
     spec.save(spark, f"{root}/features")
-    held_out.write.mode("overwrite").parquet(f"{root}/held_out")
     model.write().overwrite().save(f"{root}/model")
 
 
-def load_model(spark: SparkSession, root: str) -> tuple[PipelineModel, FeatureSpec, DataFrame]:
-    model = PipelineModel.load(f"{root}/model")
-    return model, FeatureSpec.load(spark, f"{root}/features"), spark.read.parquet(f"{root}/held_out")
+def load_model(spark: SparkSession, root: str) -> tuple[PipelineModel, FeatureSpec]:
+    return PipelineModel.load(f"{root}/model"), FeatureSpec.load(spark, f"{root}/features")
+
+
+def train_and_keep(
+    telemetry: DataFrame,
+    root: str,
+    *key: str,
+    numeric: tuple[str, ...] = NUMERIC,
+    rounds: int = ROUNDS,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """Train on telemetry rows identified by ``key`` and keep everything below ``root``.
+
+    Returns the classification report of the held-out rows.
+    """
+    spark = telemetry.sparkSession
+    spec = fit_features(telemetry, numeric)
+    keep_rows(telemetry, spec, root, *key)
+    model = train_failure_classifier(kept_rows(spark, root, False), rounds, depth)
+    save_model(spark, root, model, spec)
+    return classification_report(scored(model, kept_rows(spark, root, True)))

@@ -122,30 +122,38 @@ def test_too_many_levels(spark, monkeypatch):
 @pytest.fixture(scope="module")
 def trained(spark, small, tmp_path_factory):
     telemetry = wide_telemetry(spark, small)
-    spec = fit_features(telemetry)
-    rows = features.training_rows(telemetry, spec, "Sensor_ID")
-    train, held_out = training.train_test_split(rows, "Sensor_ID")
-    assert train.count() + held_out.count() == telemetry.count()
-    assert train.join(held_out, "Sensor_ID").count() == 0
-    assert 0.7 < train.count() / telemetry.count() < 0.9
-    model = training.train_failure_classifier(train, rounds=3, depth=3)
     root = str(tmp_path_factory.mktemp("model"))
-    training.save_model(spark, root, model, spec, held_out)
-    return model, spec, held_out, root
+    report = training.train_and_keep(telemetry, root, "Sensor_ID", rounds=3, depth=3)
+    assert {r["class"] for r in report.collect()} == {"0", "1", "accuracy", "macro avg", "weighted avg"}
+    model, spec = training.load_model(spark, root)
+    assert spec == fit_features(telemetry)
+    return model, spec, root
+
+
+def test_split_is_whole_and_stable(spark, small, trained):
+    root = trained[2]
+    train, held_out = (training.kept_rows(spark, root, part) for part in (False, True))
+    everyone = wide_telemetry(spark, small).select("Sensor_ID")
+    assert train.count() + held_out.count() == everyone.count()
+    assert train.join(held_out, "Sensor_ID").count() == 0
+    assert 0.7 < train.count() / everyone.count() < 0.9
+    again, _ = training.train_test_split(everyone.repartition(7), "Sensor_ID")
+    assert again.exceptAll(train.select("Sensor_ID")).count() == 0
+    assert again.count() == train.count()
 
 
 def test_saved_model_scores_the_same(spark, trained):
-    model, spec, held_out, root = trained
-    loaded, loaded_spec, kept = training.load_model(spark, root)
-    assert loaded_spec == spec
-    assert kept.count() == held_out.count()
+    model, _, root = trained
+    held_out = training.kept_rows(spark, root, held_out=True)
+    loaded, _ = training.load_model(spark, root)
     ours = {r["Sensor_ID"]: r["score"] for r in training.scored(model, held_out).collect()}
-    theirs = {r["Sensor_ID"]: r["score"] for r in training.scored(loaded, kept).collect()}
+    theirs = {r["Sensor_ID"]: r["score"] for r in training.scored(loaded, held_out).collect()}
     assert ours == theirs
+    assert all(0 <= score <= 1 for score in ours.values())
 
 
 def test_batch_scores_every_request(spark, trained):
-    model, spec, _, _ = trained
+    model, spec, _ = trained
     requests = [COMPLETE, _without("age"), COMPLETE | {"temperature": 95}]
     lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(requests)], "id int, value string")
     good, bad, hot = scoring.batch_score(lines, model, spec).orderBy("id").collect()
