@@ -1,5 +1,8 @@
 """Batch scoring of prediction requests."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +54,14 @@ def _names(names) -> Column:
     return F.array(*[F.lit(name) for name in names])
 
 
-def _first_true(tests: Column) -> Column:
-    """Place, from 1, of the first number whose test is true; 0 when there is none."""
-    return F.array_position(tests, True)
-
-
-def _invalid(place: str, problem: str) -> Column:
-    name = F.get(_names(NUMBERS), F.col(place) - 1)
-    return F.concat(F.lit("Invalid value for "), name, F.lit(f": {problem}"))
+def _first_invalid(tests: dict[str, Column], problem: str) -> Column:
+    """Message for the first field whose test is true; NULL when there is none."""
+    return F.coalesce(
+        *[
+            F.when(test, F.lit(f"Invalid value for {name}: {problem}"))
+            for name, test in tests.items()
+        ]
+    )
 
 
 def parse_requests(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -68,44 +71,40 @@ def parse_requests(lines: DataFrame, text: str = "value") -> DataFrame:
     null field takes its default (0 or ``Unknown``) and an unlisted category becomes
     ``Unknown``.  Nothing raises.  Other columns of ``lines`` are carried along.
 
-    Fields are read as text, and the keys apart from them: a typed read can tell
-    neither an absent field from a null one nor text from a number.
+    Fields are read as text: a typed read cannot tell text from an absent number.  Nor
+    can it tell absent from null, so a request with an empty field also has its keys
+    listed; one with every field filled is parsed once.
     """
-    parsed = lines.select(
-        *lines.columns,
-        F.from_json(text, _FIELDS).alias("_request"),
-        F.json_object_keys(text).alias("_keys"),
-    )
-    texts = F.array(*[F.col("_request")[name] for name in NUMBERS])
+    parsed = lines.select(*lines.columns, F.from_json(text, _FIELDS).alias("_request"))
+    entry = {name: F.col("_request")[name] for name in REQUIRED}
+    some_empty = reduce(or_, [entry[name].isNull() for name in REQUIRED])
     typed = parsed.select(
-        "*",
-        texts.alias("_texts"),
-        F.transform(texts, lambda entry: entry.try_cast("double")).alias("_numbers"),
-    )
-    negative = F.transform("_numbers", lambda number: number < 0)
-    unreadable = F.zip_with(
-        "_texts",
-        "_numbers",
-        lambda entry, number: entry.isNotNull() & (number.isNull() | F.isnan(number)),
-    )
-    tested = typed.select(
-        "*",
-        F.array_except(_names(REQUIRED), "_keys").alias("_absent"),
-        _first_true(negative).alias("_negative"),
-        _first_true(unreadable).alias("_unreadable"),
-    )
+        *lines.columns,
+        "_request",
+        some_empty.alias("_incomplete"),
+        F.when(some_empty, F.json_object_keys(text)).alias("_keys"),
+        *[entry[name].try_cast("double").alias(name) for name in NUMBERS],
+    ).withColumn("_absent", F.array_except(_names(REQUIRED), "_keys"))
+    negative = {name: F.col(name) < 0 for name in NUMBERS}
+    unreadable = {
+        name: (entry[name].isNotNull() & F.col(name).isNull()) | F.isnan(name) for name in NUMBERS
+    }
     error = (
-        F.when(F.col("_keys").isNull(), NOT_JSON)
+        F.when(F.col("_incomplete") & F.col("_keys").isNull(), NOT_JSON)
         .when(F.size("_absent") > 0, F.concat(F.lit("Missing fields: "), F.array_join("_absent", ", ")))
-        .when(F.col("_negative") > 0, _invalid("_negative", "Must be non-negative"))
-        .when(F.col("_unreadable") > 0, _invalid("_unreadable", "Must be a number"))
+        .otherwise(
+            F.coalesce(
+                _first_invalid(negative, "Must be non-negative"),
+                _first_invalid(unreadable, "Must be a number"),
+            )
+        )
     )
-    return tested.select(
+    return typed.select(
         *lines.columns,
         error.alias("error"),
-        *[F.coalesce(F.col("_numbers")[i], F.lit(0.0)).alias(n) for i, n in enumerate(NUMBERS)],
+        *[F.coalesce(name, F.lit(0.0)).alias(name) for name in NUMBERS],
         *[
-            known_or_unknown(F.col("_request")[name], known).alias(name)
+            known_or_unknown(entry[name], known).alias(name)
             for name, (_, known) in CATEGORIES.items()
         ],
     )
