@@ -1,6 +1,6 @@
 """Fleet-wide state: machine list, status per machine, headline counts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwarden.functions.clock import AsOf, day
@@ -28,41 +28,76 @@ def machine_data(t: Tables) -> DataFrame:
     )
 
 
-def _failures_per_machine(t: Tables) -> DataFrame:
-    return t.failure_records.groupBy(MACHINE).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(is_warning()).alias("warnings"),
-        F.count_if(is_critical()).alias("criticals"),
-        F.max("Predicted_Failure_Probability").alias("probability"),
+def _machines_with_records(t: Tables, records: DataFrame) -> DataFrame:
+    """One row per id: how many machines carry it, and counts of its failure records.
+
+    Machines and records are stacked and summed by id, which needs no join; a machine
+    with many records is summed where its records are read.
+    """
+    machines = t.machines.select(
+        MACHINE,
+        F.lit(1).alias("machines"),
+        *[F.lit(0).alias(name) for name in ("records", "warnings", "criticals")],
+    )
+    counted = records.select(
+        MACHINE,
+        F.lit(0).alias("machines"),
+        F.lit(1).alias("records"),
+        F.when(is_warning(), 1).otherwise(0).alias("warnings"),
+        F.when(is_critical(), 1).otherwise(0).alias("criticals"),
+    )
+    return (
+        machines.unionByName(counted)
+        .groupBy(MACHINE)
+        .agg(*[F.sum(n).alias(n) for n in ("machines", "records", "warnings", "criticals")])
     )
 
 
+def _total(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
+
+
 def fleet_overview(t: Tables, grain: str = "record") -> DataFrame:
     """Total, warning, critical and normal counts in one row.
 
     ``grain="record"`` counts a machine once per failure record it has (at least
     once); ``grain="machine"`` counts each machine once, by its worst record.
-    Facts are reduced to one row per machine before the outer join.
     """
-    joined = t.machines.select(MACHINE).join(_failures_per_machine(t), MACHINE, "left")
+    ids = _machines_with_records(t, t.failure_records)
+    machines = F.col("machines")
+
+    def own(name: str) -> Column:
+        """Count of a machine's records; records without an id are no machine's."""
+        return F.when(F.col(MACHINE).isNotNull(), F.col(name)).otherwise(0)
+
     if grain == "machine":
-        counts = joined.agg(
-            F.count(F.lit(1)).alias("total_machines"),
-            F.count_if((F.col("criticals") == 0) & (F.col("warnings") > 0)).alias("warning_machines"),
-            F.count_if(F.col("criticals") > 0).alias("critical_machines"),
-        )
+        critical = own("criticals") > 0
+        total = machines
+        warnings = F.when(~critical & (own("warnings") > 0), machines)
+        criticals = F.when(critical, machines)
     else:
-        counts = joined.agg(
-            F.coalesce(F.sum(F.coalesce("records", F.lit(1))), F.lit(0)).alias("total_machines"),
-            F.coalesce(F.sum("warnings"), F.lit(0)).alias("warning_machines"),
-            F.coalesce(F.sum("criticals"), F.lit(0)).alias("critical_machines"),
-        )
+        total = machines * F.greatest(own("records"), F.lit(1))
+        warnings = machines * own("warnings")
+        criticals = machines * own("criticals")
+    counts = ids.agg(
+        _total(total).alias("total_machines"),
+        _total(warnings).alias("warning_machines"),
+        _total(criticals).alias("critical_machines"),
+    )
     return counts.withColumn(
         "normal_machines",
         F.col("total_machines") - F.col("warning_machines") - F.col("critical_machines"),
     )
 
 
+def _failures_per_machine(t: Tables) -> DataFrame:
+    return t.failure_records.groupBy(MACHINE).agg(
+        F.count_if(is_warning()).alias("warnings"),
+        F.count_if(is_critical()).alias("criticals"),
+        F.max("Predicted_Failure_Probability").alias("probability"),
+    )
+
+
 def machine_status(t: Tables, grain: str = "record") -> DataFrame:
     """Status, last and next maintenance of machines.
 
@@ -106,51 +141,43 @@ def machine_status(t: Tables, grain: str = "record") -> DataFrame:
     )
 
 
-def _critical_per_machine(t: Tables) -> DataFrame:
-    return (
-        t.failure_records.where(is_critical())
-        .groupBy(MACHINE)
-        .agg(F.count(F.lit(1)).alias("criticals"))
-    )
-
-
-def _operational(t: Tables, critical: DataFrame) -> DataFrame:
-    """Machines outside the critical ones, under SQL ``NOT IN`` rules for NULL.
+def _critical_summary(t: Tables) -> DataFrame:
+    """Operational machines and critical records in one row, from one pass over each table.
 
-    The null-aware anti join Spark plans for ``NOT IN`` broadcasts its right side
-    whatever the size, so this is a plain anti join on distinct ids and two cases:
-    a NULL among the ids rules every machine out, and no ids at all rules none out.
+    Operational are the machines outside the critical ones, under SQL ``NOT IN`` rules:
+    a NULL among the critical ids rules every machine out, no ids at all rule none out,
+    and else a machine without an id is not outside.  The anti join Spark plans for
+    ``NOT IN`` broadcasts its right side whatever the size; sums by id need no join.
     """
-    ids = critical.agg(
-        F.count(F.lit(1)).alias("ids"), F.count_if(F.col(MACHINE).isNull()).alias("nulls")
+    ids = _machines_with_records(t, t.failure_records.where(is_critical()))
+    critical, named = F.col("criticals") > 0, F.col(MACHINE).isNotNull()
+    sums = ids.agg(
+        F.count_if(critical).alias("ids"),
+        F.count_if(critical & ~named).alias("nameless"),
+        _total(F.col("machines")).alias("all"),
+        _total(F.when(~critical & named, F.col("machines"))).alias("free"),
+        _total(F.col("criticals")).alias("critical_count"),
     )
-    summary = ids.select(F.struct("ids", "nulls")).scalar()
-    free = t.machines.select(MACHINE).join(critical.select(MACHINE), MACHINE, "left_anti")
-    return free.agg(
-        F.count(F.lit(1)).alias("_all"), F.count(MACHINE).alias("_named")
-    ).select(
-        F.when(summary["ids"] == 0, F.col("_all"))
-        .when(summary["nulls"] > 0, F.lit(0))
-        .otherwise(F.col("_named"))
-        .cast("bigint")
-        .alias("operational_count")
+    operational = (
+        F.when(F.col("ids") == 0, F.col("all"))
+        .when(F.col("nameless") > 0, F.lit(0))
+        .otherwise(F.col("free"))
     )
+    return sums.select(operational.alias("operational_count"), "critical_count")
 
 
 def operational_machine_count(t: Tables) -> DataFrame:
     """Machines not in the set of machines with a critical record."""
-    return _operational(t, _critical_per_machine(t))
+    return _critical_summary(t).select("operational_count")
 
 
 def maintenance_page_counts(t: Tables, as_of: AsOf = None) -> DataFrame:
     """Operational, preventive, due and critical counts in one row.
 
-    One pass over the schedule, one over the failures; the failure pass yields both
-    the number of critical records and the ids of the machines they belong to.
+    One pass over the schedule and one over machines and failures.
     """
     today = day(as_of)
-    critical = _critical_per_machine(t)
-    records = critical.agg(F.coalesce(F.sum("criticals"), F.lit(0)).alias("critical_count"))
+    summary = _critical_summary(t)
     schedule = t.maintenance_schedule.agg(
         F.count_if(
             (F.col("Maintenance_Type") == "Preventive") & (F.col("Scheduled_Date") >= today)
@@ -158,8 +185,8 @@ def maintenance_page_counts(t: Tables, as_of: AsOf = None) -> DataFrame:
         F.count_if(F.col("Scheduled_Date") < today).alias("due_count"),
     )
     return schedule.select(
-        _operational(t, critical).scalar().alias("operational_count"),
+        summary.select("operational_count").scalar().alias("operational_count"),
         "preventive_count",
         "due_count",
-        records.scalar().alias("critical_count"),
+        summary.select("critical_count").scalar().alias("critical_count"),
     )
