@@ -159,12 +159,17 @@ def maintenance_cost_monthly(t: Tables, as_of: AsOf = None) -> DataFrame:
     monthly = (
         t.maintenance_schedule.where(F.col("Scheduled_Date") >= F.add_months(day(as_of), -12))
         .groupBy(month_start("Scheduled_Date").alias("_month"))
-        .agg(F.sum("Estimated_Cost").alias("_cost"), F.lit(True).alias("_present"))
+        .agg(F.sum("Estimated_Cost").alias("_cost"))
     )
-    months = monthly.agg(F.min("_month").alias("low"), F.max("_month").alias("high")).select(
-        F.explode(F.sequence("low", "high", F.expr("interval 1 month"))).alias("_month")
+    # All months with jobs, in one row.
+    known = F.map_from_entries(F.collect_list(F.struct("_month", F.struct("_cost"))))
+    months = monthly.agg(
+        F.min("_month").alias("low"), F.max("_month").alias("high"), known.alias("_known")
+    ).select(
+        F.explode(F.sequence("low", "high", F.expr("interval 1 month"))).alias("_month"), "_known"
     )
-    return months.join(monthly, "_month", "left").select(
+    cost = F.try_element_at("_known", F.col("_month"))
+    return months.select(
         month_label("_month").alias("month"),
-        F.when(F.col("_present"), F.col("_cost")).otherwise(0.0).alias("total_cost"),
+        F.when(cost.isNull(), 0.0).otherwise(cost["_cost"]).alias("total_cost"),
     )

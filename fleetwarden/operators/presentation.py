@@ -56,7 +56,9 @@ def page(report: DataFrame, order: list[str | Column], number: int, size: int) -
     """Page ``number`` (from 1) of ``size`` rows, with column ``has_next``.
 
     ``order`` must order rows fully.  One row more than the page is fetched to know
-    whether there is a next page; the window runs over those ``size + 1`` rows.
+    whether there is a next page; the window runs over those ``size + 1`` rows.  Tasks
+    keep as many rows as lie up to the end of the page, which suits a pager: to export
+    a whole report, write it in display order instead of walking its pages.
     """
     fetched = report.orderBy(*order).offset((number - 1) * size).limit(size + 1)
     whole = Window.orderBy(*order)

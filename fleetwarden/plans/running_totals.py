@@ -47,7 +47,9 @@ def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFra
         local = local.withColumn(f"_local_{v}", F.sum(v).over(up_to_here)).withColumn(
             f"_lead_{v}", F.lead(v).over(inside)
         )
-    return local.join(F.broadcast(offsets), "_range").select(
+    # Every range has its offsets; as a left join both branches read the same rows and
+    # Spark reuses them.
+    return local.join(F.broadcast(offsets), "_range", "left").select(
         *rows.columns,
         *[(F.col(f"_local_{v}") + F.col(f"_before_{v}")).alias(f"total_{v}") for v in values],
         *[F.coalesce(f"_lead_{v}", f"_after_{v}").alias(f"next_{v}") for v in values],
