@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwarden.llm import bpe, decontamination, language, quality, toxicity
+from fleetwarden.llm import bpe, decontamination, language, ngram_join, quality, toxicity
 from fleetwarden.llm.frames import crc_mod, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -60,7 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_language_id, op4_decontamination, op5_byte_bpe, op7_quality, op10_toxicity]
+    found = [
+        op1_ngram_join,
+        op2_language_id,
+        op4_decontamination,
+        op5_byte_bpe,
+        op7_quality,
+        op10_toxicity,
+    ]
     return {f.__name__: f for f in found}
 
 
