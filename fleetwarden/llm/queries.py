@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwarden.llm import bpe, decontamination, language, ngram_join, quality, toxicity
+from fleetwarden.llm import bpe, decontamination, language, ngram_join, quality, repeats, toxicity
 from fleetwarden.llm.frames import crc_mod, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 5) == 0
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_decontamination,
         op5_byte_bpe,
         op7_quality,
+        op9_suffix_dedup,
         op10_toxicity,
     ]
     return {f.__name__: f for f in found}
