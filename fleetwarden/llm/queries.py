@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwarden.llm import bpe, decontamination, language, ngram_join, quality, repeats, toxicity
+from fleetwarden.llm import (
+    bpe,
+    decontamination,
+    language,
+    lines,
+    neighbours,
+    ngram_join,
+    quality,
+    quotations,
+    repeats,
+    toxicity,
+)
 from fleetwarden.llm.frames import crc_mod, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +39,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), neighbours.fit(vectors))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -47,6 +63,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.remove_shared_lines(docs)
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_removed", kept)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod("doc_id", 3) == 1
@@ -55,6 +78,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotations.order_conversations(table(spark, sf_dir, "conversations"))
+    own = F.sha2("own_text", 256).alias("own_sha256")
+    return found.select("conv_id", "position", "turn", "role", "reply_to", "n_quotes", "n_linked", own)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -71,9 +100,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_join,
         op2_language_id,
+        op3_nearest_neighbours,
         op4_decontamination,
         op5_byte_bpe,
+        op6_line_dedup,
         op7_quality,
+        op8_chat_formatting,
         op9_suffix_dedup,
         op10_toxicity,
     ]
