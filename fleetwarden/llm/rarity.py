@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 
 
 def in_blocks(docs: DataFrame, column: str = "text") -> tuple[DataFrame, int]:

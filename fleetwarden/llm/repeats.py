@@ -38,6 +38,8 @@ from fleetwarden.llm.rarity import Keys, count_codes, in_blocks, key_bits
 LENGTH = 100
 #: Bytes of the strings by which windows are dealt out.
 K = 24
+#: Bytes of runs that are put into one suffix array; see ``shared_windows`` for one K-gram's.
+BATCH = 1 << 19
 LAST = 2**63 - 1
 
 
@@ -53,10 +55,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Runs of windows with one least K-gram: first window, number of windows, hash of the K-gram."""
+    """Runs of windows with one least K-gram: first window, windows, K-gram's place and hash."""
     n, none = len(data), np.empty(0, np.int64)
     if n < length:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     sums = text.prefix_hashes(data)
     at = np.arange(n - K + 1)
     grams = text.span_hashes(sums, at, at + K)
@@ -73,7 +75,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int):
     stops = inside.copy()
     stops[:-1] &= change | ~inside[1:]
     starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    return starts, stops - starts, grams[least[starts].astype(np.int64)]
+    place = least[starts].astype(np.int64)
+    return starts, stops - starts, place - starts, grams[place]
 
 
 def block_runs(rows: pa.Table, length: int) -> Iterator[tuple]:
@@ -81,10 +84,10 @@ def block_runs(rows: pa.Table, length: int) -> Iterator[tuple]:
     base = 0
     for piece in text.pieces(rows):
         data, offsets = text.utf8(piece.column("text"))
-        starts, many, grams = runs(data, offsets, length)
+        starts, many, spots, grams = runs(data, offsets, length)
         sums = text.prefix_hashes(data)
         content = text.span_hashes(sums, starts, starts + many + length - 1)
-        yield starts + base, many, grams, content
+        yield starts + base, many, spots, grams, content
         base += len(data)
 
 
@@ -94,13 +97,13 @@ class Block:
     def __init__(self, rows: pa.Table, answers: pa.Table, length: int, bits: int):
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         parts = list(zip(*block_runs(self.rows, length)))
-        starts, many, grams, content = (np.concatenate(p) for p in parts)
+        starts, many, spots, grams, content = (np.concatenate(p) for p in parts)
         codes = Keys(grams, bits).codes(answers)
         often = codes[Keys(grams, bits).find(grams)] > 1 if len(grams) else np.empty(0, bool)
-        self.starts, self.grams, content = starts[often], grams[often], content[often]
-        self.sizes = many[often] + length - 1
-        _, first = np.unique(content, return_index=True)
-        self.first = np.zeros(len(content), bool)
+        self.starts, self.grams, self.content = starts[often], grams[often], content[often]
+        self.sizes, self.spots = many[often] + length - 1, spots[often]
+        _, first = np.unique(self.content, return_index=True)
+        self.first = np.zeros(len(self.content), bool)
         self.first[first] = True
         self.data, self.offsets = text.utf8(self.rows.column("text"))
 
@@ -138,6 +141,36 @@ def previous_factors(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
     return previous
 
 
+def shared_windows(data, starts, sizes, spots, age, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the runs that an earlier run also holds: run and place in it, in order.
+
+    Runs of several K-grams are put into one suffix array. Those of one K-gram that is too
+    frequent for that are taken by the place of the K-gram in the window, in which equal
+    windows agree: the windows of one such place are sorted as they are, which is their suffix
+    order to the depth of LENGTH, and take little more memory than they have bytes.
+    """
+    windows = sizes - length + 1
+    if sizes.sum() <= 2 * BATCH:
+        joint = gather(data, starts, sizes)
+        first = np.cumsum(sizes) - sizes
+        run = np.repeat(np.arange(len(starts)), windows)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+        rank = suffix_ranks(joint, length)[first[run] + step]
+        covered = np.flatnonzero(previous_factors(rank, age[run] * (2 * length) + step))
+        return run[covered], step[covered]
+    runs_, steps = [], []
+    for place in range(length - K + 1):
+        step = spots - place
+        own = np.flatnonzero((step >= 0) & (step < windows))
+        rows = data[(starts[own] + step[own])[:, None] + np.arange(length)]
+        _, rank = np.unique(rows.view(f"S{length}").ravel(), return_inverse=True)
+        own = own[previous_factors(rank, age[own])]
+        runs_.append(own), steps.append(step[own])
+    run, step = np.concatenate(runs_), np.concatenate(steps)
+    order = np.lexsort((step, run))
+    return run[order], step[order]
+
+
 def spans_of(starts: np.ndarray, owner: np.ndarray, length: int):
     """Runs of consecutive window starts of one owner as spans of bytes: owner, begin, end."""
     new = np.ones(len(starts), bool)
@@ -154,7 +187,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_bytes: bool =
     blocked, blocks = in_blocks(docs.select("doc_id", "text"))
     bits = key_bits(blocks)
     width = max(1, (blocks - 1).bit_length())
-    answers = count_codes(blocked, blocks, lambda rows: (r[2] for r in block_runs(rows, length)))
+    answers = count_codes(blocked, blocks, lambda rows: (r[3] for r in block_runs(rows, length)))
 
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(rows, answers, length, bits)
@@ -169,24 +202,28 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_bytes: bool =
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(own)]
         for s, e in zip(edges[:-1], edges[1:]):
             content = gather(block.data, block.starts[own[s:e]], sizes[s:e])
-            arrays = (ids[s:e], row[s:e], at[s:e], sizes[s:e], block.grams[own[s:e]])
+            hashes = (block.grams[own[s:e]], block.content[own[s:e]])
+            spots = block.spots[own[s:e]]
+            arrays = (ids[s:e], row[s:e], at[s:e], sizes[s:e], spots, *hashes)
             parts = [np.ascontiguousarray(x).tobytes() for x in arrays]
             out.append((int(bucket[s]), number, *parts, content.tobytes()))
-        columns = list(zip(*out)) or [[]] * 8
-        names = ["bucket", "block", "ids", "rows", "places", "sizes", "grams", "content"]
-        kinds = [pa.int64()] * 2 + [pa.binary()] * 6
+        columns = list(zip(*out)) or [[]] * 10
+        names = ["bucket", "block", "ids", "rows", "places", "sizes"]
+        names += ["spots", "grams", "hashes", "content"]
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 8
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
     def compare(rows: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate(
             [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
         )
-        ids, row, at, sizes = (read(n, np.int64) for n in ("ids", "rows", "places", "sizes"))
-        grams, data = read("grams", np.uint64), read("content", np.uint8)
+        names = ("ids", "rows", "places", "sizes", "spots")
+        ids, row, at, sizes, spots = (read(n, np.int64) for n in names)
+        grams, content = read("grams", np.uint64), read("hashes", np.uint64)
+        data = read("content", np.uint8)
         numbers = rows.column("block").to_numpy()
         block = np.repeat(numbers, [len(x) // 8 for x in rows.column("ids").to_pylist()])
         starts = np.cumsum(sizes) - sizes
-        content = text.span_hashes(text.prefix_hashes(data), starts, starts + sizes)
         order = np.lexsort((at, row, block, ids))
         age = np.empty(len(order), np.int64)
         age[order] = np.arange(len(order))
@@ -198,20 +235,22 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_bytes: bool =
         owner, begin, end = gone, at[gone], at[gone] + sizes[gone]
         # different runs of one K-gram: windows in suffix order
         kept = np.flatnonzero(~same)
+        kept = kept[np.argsort(grams[kept], kind="stable")]
         _, which, many = np.unique(grams[kept], return_inverse=True, return_counts=True)
-        kept = kept[many[which] > 1]
-        if len(kept):
-            joint = gather(data, starts[kept], sizes[kept])
-            windows = sizes[kept] - length + 1
-            first = np.cumsum(sizes[kept]) - sizes[kept]
-            run = np.repeat(np.arange(len(kept)), windows)
-            step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-            rank = suffix_ranks(joint, length)[first[run] + step]
-            position = age[kept][run] * (2 * length) + step
-            covered = np.flatnonzero(previous_factors(rank, position))
-            o, b, e = spans_of(step[covered], kept[run[covered]], length)
-            owner = np.concatenate([owner, o])
-            begin, end = np.concatenate([begin, at[o] + b]), np.concatenate([end, at[o] + e])
+        kept, which = kept[many[which] > 1], which[many[which] > 1]
+        found = [(owner, begin, end)]
+        ends = np.cumsum(sizes[kept])
+        start = 0
+        while start < len(kept):
+            stop = int(np.searchsorted(ends, ends[start] + BATCH, "right"))
+            last = which[min(stop, len(kept) - 1)]  # whole K-grams only
+            stop = int(np.searchsorted(which, last)) if stop < len(kept) else stop
+            stop = max(stop, int(np.searchsorted(which, which[start], "right")))
+            some, start = kept[start:stop], stop
+            run, step = shared_windows(data, starts[some], sizes[some], spots[some], age[some], length)
+            o, b, e = spans_of(step, some[run], length)
+            found.append((o, at[o] + b, at[o] + e))
+        owner, begin, end = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(block[owner], kind="stable")
         owner, begin, end = owner[order], begin[order], end[order]
         to = block[owner]
@@ -236,14 +275,14 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_bytes: bool =
         block = Block(rows, told.filter(pa.array(is_answer, pa.bool_())), length, bits)
         spans = told.filter(pa.array([not a for a in is_answer], pa.bool_()))
         read = lambda name: np.frombuffer(b"".join(spans.column(name).to_pylist()), np.int64)
-        edges = np.zeros(len(block.data) + 1, np.int64)
+        edges = np.zeros(len(block.data) + 1, np.int32)
         base = block.offsets[read("rows")]
         np.add.at(edges, base + read("begins"), 1)
         np.add.at(edges, base + read("ends"), -1)
         again = ~block.first
         np.add.at(edges, block.starts[again], 1)
         np.add.at(edges, block.starts[again] + block.sizes[again], -1)
-        removed = np.cumsum(edges)[:-1] > 0
+        removed = np.cumsum(edges, out=edges)[:-1] > 0
         n_removed, n_spans, kept = [], [], []
         for s, e in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
             own = removed[s:e]
@@ -266,7 +305,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_bytes: bool =
     sent = grouped.cogroup(answers.groupBy("block")).applyInArrow(
         send,
         "bucket bigint, block bigint, ids binary, rows binary, places binary, sizes binary, "
-        "grams binary, content binary",
+        "spots binary, grams binary, hashes binary, content binary",
     )
     spans = sent.groupBy("bucket").applyInArrow(
         compare,

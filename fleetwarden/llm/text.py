@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
