@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Rows whose features are worked on at once.
+PART = 128
+
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
@@ -25,22 +28,34 @@ def fit_sets(
     gradient steps with adaptive rates; the same rows give the same weights.
     """
     least = min(least, max(1, len(sets) // 50))
-    frequent = np.bincount(np.concatenate(sets), minlength=len(scale)) >= least
-    sets = [s[frequent[s]] for s in sets]
-    used, index = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    value = scale[used][index]
+    seen = np.zeros(len(scale), np.int32)
+    for s in sets:
+        seen[s] += 1
+    used = np.flatnonzero(seen >= least)
+    place = np.full(len(scale), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    # a part of the rows at a time, so that only the features themselves are held for all rows
+    parts = []
+    for start in range(0, len(sets), PART):
+        own = [place[s] for s in sets[start : start + PART]]
+        own = [s[s >= 0] for s in own]
+        parts.append((np.concatenate(own), [len(s) for s in own], labels[start : start + PART]))
+    scales = scale[used]
     w, b = np.zeros(len(used)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     m, v, rate = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0.02
     for step in range(1, rounds + 1):
-        error = sigmoid(np.bincount(row, value * w[index], len(sets)) + b) - labels
-        grad = np.bincount(index, value * error[row], len(used)) + ridge * w
-        grad = np.append(grad, error.sum())
+        scaled, sums, total = w * scales, np.zeros(len(used)), 0.0
+        for index, sizes, truth in parts:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            error = sigmoid(np.bincount(row, scaled[index], len(sizes)) + b) - truth
+            sums += np.bincount(index, error[row], len(used))
+            total += error.sum()
+        grad = np.append(sums * scales + ridge * w, total)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     weights = np.zeros(len(scale))
-    weights[used] = w * scale[used]
+    weights[used] = w * scales
     return weights, float(b)
 
 

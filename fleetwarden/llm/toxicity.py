@@ -90,7 +90,7 @@ def fit(
     rows = sample.mapInArrow(run, "doc_id string, label int, grams binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("grams", "ascending")])
     truth = rows.column("label").to_numpy().astype(float)
-    sets = [np.frombuffer(x, np.int32) for x in rows.column("grams").to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("grams")]
     share = (truth.sum() + 1) / (len(truth) + 2)
     slots = 1 << bits
     if not 0 < truth.sum() < len(truth):
