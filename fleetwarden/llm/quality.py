@@ -5,8 +5,9 @@ compressed with either; the difference of the two sizes, divided by their sum, t
 kind it is more like. A logistic curve, fitted to labelled texts that are in neither
 dictionary, turns that into a score. Scoring is one pass without a shuffle, over whole texts.
 
-Dictionaries and curve are made from at most ``max_rows`` labelled rows, those with the
-smallest hash of their id; rows of the rarer label first, half for the dictionaries.
+Dictionaries and curve are made from at most ``max_rows`` labelled rows, for each label those
+with the smallest hash of their id; every other one is for the dictionaries. The curve is
+fitted to whole texts, which are compressed where they are read.
 
 Defined results: null and empty texts score as the curve does at a difference of zero; rows
 without a label or an id teach nothing; with one class only, or no labelled row, all texts get
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwarden.llm import text
@@ -31,8 +32,9 @@ from fleetwarden.llm.linear import fit_platt, sigmoid
 
 MAX_ROWS = 4000
 DICTIONARY_BYTES = 512 << 10
-#: A dictionary takes this much of one text at most, so that no long text fills it.
-EXCERPT_BYTES = 8 << 10
+#: A dictionary takes this many characters of one text at most, from a place that the id's
+#: hash gives, so that no long text fills it.
+EXCERPT = 8 << 10
 LEVEL = 6
 
 
@@ -68,6 +70,13 @@ class Sizes:
         good, bad = (len(c(data)) for c in self.compress)
         return (bad - good) / (bad + good)
 
+    def differences(self, column) -> np.ndarray:
+        """The difference of each whole text."""
+        data, offsets = text.utf8(column)
+        data = data.tobytes()
+        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        return np.array([self.difference(data[a:b]) for a, b in spans], float)
+
 
 def fit(
     docs: DataFrame,
@@ -85,28 +94,44 @@ def fit(
     for kind in (0, 1):
         best = rows.where(F.col("label") == kind).orderBy(at, "doc_id").limit(max_rows // 2)
         chosen = best if chosen is None else chosen.union(best)
+    # at most max_rows rows: every other one of a kind goes to its dictionary
+    place = F.row_number().over(Window.partitionBy("label").orderBy(at, "doc_id"))
+    chosen = F.broadcast(chosen.withColumn("place", place))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").where("length(text) > 0")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select("doc_id", F.substring("text", 1, 4 * EXCERPT_BYTES).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").where("length(text) > 0")
-    sample = sample.withColumn("at", at).orderBy("at", "doc_id", "label", "text").toArrow()
     n_bad, n_good = counts.get(0, 0), counts.get(1, 0)
-    kinds = np.array(sample.column("label").to_pylist(), dtype=float)
-    data = [x.encode() for x in sample.column("text").to_pylist()]
     odds = float(np.log((n_good + 1) / (n_bad + 1)))
-    if min((kinds == 0).sum(), (kinds == 1).sum()) < 2:
+
+    last_start = F.greatest(F.lit(1), F.length("text") - EXCERPT + 2)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(8)), last_start).cast("int") + 1
+    excerpt = F.substr("text", start, F.lit(EXCERPT)).alias("text")
+    taught = sample.where("place % 2 = 1").select("place", "label", excerpt).toArrow()
+    taught = taught.sort_by([("place", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    contents: dict[int, list[bytes]] = {0: [], 1: []}
+    for kind, own in zip(taught.column("label").to_pylist(), taught.column("text").to_pylist()):
+        contents[kind].append(own.encode())
+    good, bad = b"\n".join(contents[1]), b"\n".join(contents[0])
+    size = min(dictionary_bytes, len(good), len(bad))
+    good, bad = good[:size], bad[:size]
+    if not size:
         return Model(b"", b"", 0.0, odds)
-    contents, rest = {}, []
-    for kind in (0, 1):
-        own = [d for d, k in zip(data, kinds) if k == kind]
-        half = max(1, len(own) // 2)
-        contents[kind] = b"\n".join([d[:EXCERPT_BYTES] for d in own[:half]])
-        rest += [(d, kind) for d in own[half:]]
-    size = min(dictionary_bytes, len(contents[0]), len(contents[1]))
-    good, bad = contents[1][:size], contents[0][:size]
-    sizes = Sizes(good, bad)
-    x = np.array([sizes.difference(d) for d, _ in rest])
-    truth = np.array([k for _, k in rest], dtype=float)
-    slope, intercept = fit_platt(x, truth)
+    sent = share(docs, Model(good, bad, 0.0, 0.0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared(sent)
+        sizes = Sizes(m.good, m.bad)
+        for batch in batches:
+            for rows in text.pieces(batch):
+                x = pa.array(sizes.differences(rows.column("text")))
+                yield from rows.select(["place", "label"]).append_column("x", x).to_batches()
+
+    rest = sample.where("place % 2 = 0").select("place", "label", "text")
+    rest = rest.mapInArrow(measure, "place int, label int, x double").toArrow()
+    rest = rest.sort_by([("place", "ascending"), ("label", "ascending"), ("x", "ascending")])
+    truth = rest.column("label").to_numpy().astype(float)
+    if not 0 < truth.sum() < len(truth):
+        return Model(b"", b"", 0.0, odds)
+    slope, intercept = fit_platt(rest.column("x").to_numpy(), truth)
     seen = float(np.log((truth.sum() + 1) / (len(truth) - truth.sum() + 1)))
     return Model(good, bad, slope, intercept + odds - seen)
 
@@ -122,12 +147,7 @@ def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame
         sizes = Sizes(m.good, m.bad) if m.good and m.bad else None
         for batch in batches:
             for rows in text.pieces(batch):
-                data, offsets = text.utf8(rows.column("text"))
-                data = data.tobytes()
-                x = np.zeros(rows.num_rows)
-                if sizes:
-                    spans = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-                    x = np.array([sizes.difference(data[a:b]) for a, b in spans])
+                x = sizes.differences(rows.column("text")) if sizes else np.zeros(rows.num_rows)
                 scores = sigmoid(m.slope * x + m.intercept)
                 rows = rows if keep_text else rows.drop_columns(["text"])
                 rows = rows.append_column("score", pa.array(scores))
