@@ -335,9 +335,9 @@ MODEL = {
 
 @lru_cache(maxsize=4)
 def _kept_model(spark: SparkSession, sf_dir: str) -> str:
-    """Train a small model on the telemetry and keep it; returns its folder."""
+    """Train on the telemetry, with the package's settings, and keep it; returns the folder."""
     root = fresh_folder(spark, "model")
-    training.train_and_keep(_telemetry(spark, sf_dir), root, "Sensor_ID", rounds=5, depth=4)
+    training.train_and_keep(_telemetry(spark, sf_dir), root, "Sensor_ID")
     return root
 
 

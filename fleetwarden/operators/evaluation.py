@@ -93,12 +93,12 @@ def classification_report(
 def roc_curve(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """False and true positive rates while the threshold falls, from ``(0, 0)`` on.
 
-    Rows are counted per distinct score first.  Points in the middle of a straight
+    Rows without a score, NULL or NaN, are left out; the others are counted per distinct score first.  Points in the middle of a straight
     run are dropped: a point stays if it is the first, the last, or the step to the
     next point differs from the step that led to it.
     """
     steps = (
-        rows.where(F.col(score).isNotNull())
+        rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(
             F.count_if(F.col(label) == 1).alias("tp"),

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from fleetwarden import schemas
 from fleetwarden.functions import risk
 from fleetwarden.plans.joins import MACHINE
-from fleetwarden.plans.sizing import broadcastable
 from fleetwarden.sources import warehouse
 from fleetwarden.sources.telemetry_csv import CORRUPT, SOURCE_ORDER, read_telemetry_csv
 
@@ -21,18 +20,13 @@ REPLACED = [name for name in schemas.MACHINES.names if name not in (MACHINE, "In
 def latest_rows(incoming: DataFrame, order: list[str]) -> DataFrame:
     """The last incoming row of each machine in the order of the ``order`` columns.
 
-    The last column of ``order`` must be unique.  Only ids and positions are
-    aggregated, first within each source chunk, and the rows are then picked by
-    position; a window or sort would move every row of a machine into one task.
+    ``order`` must be unique.  Partial aggregation leaves one row per machine and task
+    before anything moves.
     """
-    *chunk, position = order
+    values = [F.col(c) for c in incoming.columns if c != MACHINE]
+    last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     known = incoming.where(F.col(MACHINE).isNotNull())
-    last = known.groupBy(MACHINE, *chunk).agg(F.max(position).alias(position))
-    if chunk:
-        last = last.groupBy(MACHINE).agg(F.max(F.struct(*order)).alias("_last"))
-        last = last.select(MACHINE, F.col(f"_last.{position}").alias(position))
-    small = broadcastable(last)
-    return known.join(last if small is None else small, [MACHINE, position])
+    return known.groupBy(MACHINE).agg(last).select(MACHINE, "_last.*")
 
 
 def upsert_machines(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
@@ -41,7 +35,8 @@ def upsert_machines(existing: DataFrame, incoming: DataFrame, order: list[str])
     The last row of a machine wins and its values replace the old ones even when
     NULL; the industry of a known machine survives.
     """
-    latest = latest_rows(incoming, order).select(MACHINE, *REPLACED)
+    needed = incoming.select(MACHINE, *REPLACED, *order)
+    latest = latest_rows(needed, order).select(MACHINE, *REPLACED)
     both = existing.alias("old").join(
         latest.withColumn("_incoming", F.lit(True)).alias("new"), MACHINE, "full_outer"
     )
@@ -57,15 +52,17 @@ def assign_industry(machines: DataFrame) -> DataFrame:
     return machines.withColumn("Industry", risk.industry(F.col(MACHINE)))
 
 
-def apply_schedule_overrides(schedule: DataFrame, overrides: DataFrame) -> DataFrame:
+def apply_schedule_overrides(
+    schedule: DataFrame, overrides: DataFrame, order: str = "Scheduled_Date"
+) -> DataFrame:
     """Schedule with the dates of overridden machines replaced on all their rows.
 
-    ``overrides`` has ``Machine_ID, Scheduled_Date``, at most one row per machine.
+    ``overrides`` has ``Machine_ID, Scheduled_Date``.  Of several rows of a machine the
+    last by ``order`` counts, by default the latest date.
     """
-    dates = overrides.select(MACHINE, F.col("Scheduled_Date").alias("_date"))
-    small = broadcastable(dates)
+    dates = overrides.groupBy(MACHINE).agg(F.max_by("Scheduled_Date", order).alias("_date"))
     return (
-        schedule.join(dates if small is None else small, MACHINE, "left")
+        schedule.join(dates, MACHINE, "left")
         .withColumn("Scheduled_Date", F.coalesce("_date", "Scheduled_Date"))
         .select(*schedule.columns)
     )
@@ -197,6 +194,8 @@ def run_etl(
     def write_machines() -> int:
         existing = warehouse.read_current(spark, root, "machines", schemas.MACHINES)
         merged = upsert_machines(existing, good, list(SOURCE_ORDER))
+        industry = F.coalesce("Industry", risk.industry(F.col(MACHINE)))
+        merged = merged.withColumn("Industry", industry)
         return warehouse.write_next_version(spark, merged, root, "machines", schemas.MACHINES)
 
     loads = {

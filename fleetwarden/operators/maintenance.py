@@ -7,7 +7,6 @@ from fleetwarden.functions.clock import AsOf, day
 from fleetwarden.functions.risk import MAINTENANCE_TYPES, NEXT_SCHEDULE_DAYS
 from fleetwarden.functions.time_buckets import day_label, month_label, month_start
 from fleetwarden.plans.joins import MACHINE, with_dimension
-from fleetwarden.plans.sizing import broadcastable
 from fleetwarden.tables import Tables
 
 
@@ -129,11 +128,10 @@ def cost_benefit(t: Tables, as_of: AsOf = None) -> DataFrame:
     per machine first, so the join adds one row per job instead of one per pair.
     """
     downtime = t.failure_records.groupBy(MACHINE).agg(F.sum("Downtime").alias("downtime"))
-    small = broadcastable(downtime)
     return (
         _upcoming(t, as_of)
         .select(MACHINE, "Estimated_Cost")
-        .join(downtime if small is None else small, MACHINE, "left")
+        .join(downtime, MACHINE, "left")
         .groupBy(F.col("Estimated_Cost").alias("cost"))
         .agg(F.coalesce(F.sum("downtime"), F.lit(0.0)).alias("downtime_prevented"))
     )

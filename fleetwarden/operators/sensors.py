@@ -8,12 +8,22 @@ from fleetwarden.functions.risk import is_critical, percent
 from fleetwarden.functions.time_buckets import HOUR_KEYS, day_label, hour_keys, hour_label
 from fleetwarden.plans.day_filters import PARTITION, latest_day, newest_days, since
 from fleetwarden.plans.joins import MACHINE, rows_matching, with_dimension
-from fleetwarden.plans.sizing import broadcastable
 from fleetwarden.tables import Tables
 
 FEED_ROWS = 100
 HEALTH_ROWS = 50
 TREND_SENSORS = ("Temperature", "Vibration", "Pressure", "Humidity", "Power_Consumption")
+MEASURED = (
+    "Temperature",
+    "Vibration",
+    "Pressure",
+    "Humidity",
+    "Voltage",
+    "Current",
+    "Power_Consumption",
+    "Ambient_Temperature",
+    "Ambient_Humidity",
+)
 COMPARED_SENSORS = ("Pressure", "Temperature", "Vibration")
 
 
@@ -54,31 +64,23 @@ def health_indicators_recent(t: Tables) -> DataFrame:
 def sensor_trends_hourly_failed_machines(t: Tables) -> DataFrame:
     """Hourly sensor averages over machines that ever failed, one row per sensor.
 
-    With an id set small enough to broadcast, readings are filtered where they are
-    scanned.  Otherwise they shrink to one row per machine and hour first.
+    Readings shrink to one row per machine and hour before they meet the ids.
     """
     failed = t.failure_records.where(is_critical()).select(MACHINE).distinct()
     readings = t.sensor_data.select(MACHINE, *hour_keys("Timestamp"), *TREND_SENSORS)
-    small = broadcastable(failed)
-    if small is not None:
-        measured = readings.join(small, MACHINE, "left_semi")
-        total, number = F.sum, F.count
-        sums = {s: s for s in TREND_SENSORS}
-        counts = sums
-    else:
-        measured = (
-            readings.groupBy(MACHINE, *HOUR_KEYS)
-            .agg(
-                *[F.sum(s).alias(f"_sum_{s}") for s in TREND_SENSORS],
-                *[F.count(s).alias(f"_count_{s}") for s in TREND_SENSORS],
-            )
-            .join(failed, MACHINE, "left_semi")
+    measured = (
+        readings.groupBy(MACHINE, *HOUR_KEYS)
+        .agg(
+            *[F.sum(s).alias(f"_sum_{s}") for s in TREND_SENSORS],
+            *[F.count(s).alias(f"_count_{s}") for s in TREND_SENSORS],
         )
-        total, number = F.sum, F.sum
-        sums = {s: f"_sum_{s}" for s in TREND_SENSORS}
-        counts = {s: f"_count_{s}" for s in TREND_SENSORS}
+        .join(failed, MACHINE, "left_semi")
+    )
     hourly = measured.groupBy(*HOUR_KEYS).agg(
-        *[F.try_divide(total(sums[s]), number(counts[s])).alias(s) for s in TREND_SENSORS]
+        *[
+            F.try_divide(F.sum(f"_sum_{s}"), F.sum(f"_count_{s}")).alias(s)
+            for s in TREND_SENSORS
+        ]
     )
     return (
         hourly.withColumn("timestamp", hour_label())
@@ -98,7 +100,15 @@ def temperature_last_day(t: Tables, as_of: AsOf = None) -> DataFrame:
 
 
 def sensor_contribution(t: Tables) -> DataFrame:
-    """Average anomaly score in percent per sensor."""
+    """Average anomaly score in percent per sensor.
+
+    A loaded feed has a column for each sensor instead of a sensor name; there a reading
+    counts for every sensor that it has a value of.
+    """
+    if "Sensor_Name" not in t.sensor_data.columns:
+        scored = [F.when(F.col(s).isNotNull(), F.col("Anomaly_Score")) for s in MEASURED]
+        means = t.sensor_data.agg(*[percent(F.avg(c)).alias(s) for c, s in zip(scored, MEASURED)])
+        return means.unpivot([], list(MEASURED), "x", "y")
     return t.sensor_data.groupBy(F.col("Sensor_Name").alias("x")).agg(
         percent(F.avg("Anomaly_Score")).alias("y")
     )

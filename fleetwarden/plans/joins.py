@@ -3,20 +3,16 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwarden.plans.sizing import broadcastable
-
 MACHINE = "Machine_ID"
 
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, columns: list[str]) -> DataFrame:
     """Inner join of fact rows to a few columns of the machine dimension.
 
-    A dimension of proven size is broadcast and no fact row is shuffled; otherwise
-    it is a shuffled inner join, whose hot machines adaptive execution splits.
+    The join strategy is left to the planner and adaptive execution, which also splits
+    hot machines of an inner join.
     """
-    side = dimension.select(MACHINE, *columns)
-    small = broadcastable(side)
-    return facts.join(side if small is None else small, MACHINE)
+    return facts.join(dimension.select(MACHINE, *columns), MACHINE)
 
 
 def rows_matching(
@@ -24,15 +20,10 @@ def rows_matching(
 ) -> DataFrame:
     """Fact columns ``keep`` joined to a table with one row per machine.
 
-    The result carries ``_rows``, how many fact rows each output row stands for.
-    When the per-machine table may be broadcast that is 1.  Otherwise equal fact
-    rows of a machine are first counted together, so the shuffle moves distinct
-    combinations and a hot machine is cut down before it.
+    Equal fact rows of a machine are first counted together, so the shuffle moves
+    distinct combinations and a hot machine is cut down before it.  ``_rows`` is how
+    many fact rows each output row stands for.
     """
-    side = broadcastable(per_machine)
-    if side is not None:
-        slim = facts.select(MACHINE, *keep).withColumn("_rows", F.lit(1))
-        return slim.join(side, MACHINE, how)
     counted = facts.groupBy(MACHINE, *keep).agg(F.count(F.lit(1)).alias("_rows"))
     return counted.join(per_machine, MACHINE, how)
 
@@ -42,24 +33,15 @@ def average_by_dimension(
 ) -> DataFrame:
     """Average of a fact measure by an attribute of the machine: columns ``_key, _average``.
 
-    ``needed`` are the dimension columns the ``group`` expression uses.  With a small
-    dimension each fact row looks its machine up and is aggregated at once; with a
-    large one the facts shrink to a sum and a count per machine before the join.
+    ``needed`` are the dimension columns the ``group`` expression uses.  The facts shrink
+    to a sum and a count per machine before the join.
     """
-    side = broadcastable(dimension.select(MACHINE, *needed))
-    if side is not None:
-        partial = (
-            facts.join(side, MACHINE)
-            .groupBy(group.alias("_key"))
-            .agg(F.sum(measure).alias("_sum"), F.count(measure).alias("_count"))
-        )
-    else:
-        per_machine = facts.groupBy(MACHINE).agg(
-            F.sum(measure).alias("_sum"), F.count(measure).alias("_count")
-        )
-        partial = (
-            per_machine.join(dimension.select(MACHINE, *needed), MACHINE)
-            .groupBy(group.alias("_key"))
-            .agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
-        )
+    per_machine = facts.groupBy(MACHINE).agg(
+        F.sum(measure).alias("_sum"), F.count(measure).alias("_count")
+    )
+    partial = (
+        per_machine.join(dimension.select(MACHINE, *needed), MACHINE)
+        .groupBy(group.alias("_key"))
+        .agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
+    )
     return partial.select("_key", F.try_divide("_sum", "_count").alias("_average"))

@@ -3,15 +3,13 @@
 Rows are cut into ranges at estimated quantiles of the order column.  The cut points
 only steer balance; any cut points give the exact result.  Totals inside a range
 are a window partitioned by range; the totals of the ranges before it come from a
-summary of at most ``RANGES + 1`` rows.
+summary with a row per range, as many as there are shuffle partitions.
 """
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
-
 
 def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
     """For rows unique in ``order`` (a non-null double), walking it from high to low.
@@ -19,8 +17,9 @@ def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFra
     Adds ``total_<v>`` (sum up to and including the row), ``next_<v>`` (value of the
     following row) and ``all_<v>`` (sum over all rows) for each ``v`` in ``values``.
     """
-    probabilities = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(rows.approxQuantile(order, probabilities, 1 / (4 * RANGES))))
+    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probabilities = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(rows.approxQuantile(order, probabilities, 1 / (4 * ranges))))
     finite = [c for c in cuts if abs(c) != float("inf")] or [0.0]
     splits = [float("-inf"), *finite, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(rows)
@@ -29,7 +28,7 @@ def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFra
         *[F.sum(v).alias(f"_sum_{v}") for v in values],
         *[F.max_by(v, order).alias(f"_first_{v}") for v in values],
     )
-    # One row per range: the windows below see at most RANGES + 1 rows.
+    # One row per range: the windows below see few rows.
     before = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     following = Window.orderBy(F.desc("_range"))
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -48,13 +48,20 @@ class Tables:
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, root: str) -> "Tables":
-        """The tables as :func:`fleetwarden.operators.ingest.run_etl` writes them."""
+        """The tables as :func:`fleetwarden.operators.ingest.run_etl` writes them.
+
+        ``maintenance_effectiveness``, which no feed fills, is read where it is there.
+        """
         loads = {
             name: warehouse.read_loads(spark, root, name, _without_sensor_name(schema), name in DATED)
             for name, schema in STORED.items()
             if name not in ("machines", "maintenance_effectiveness")
         }
         machines = warehouse.read_current(spark, root, "machines", schemas.MACHINES)
+        name = "maintenance_effectiveness"
+        measured = warehouse.read_or_none(spark, f"{root}/{name}", STORED[name])
+        if measured is not None:
+            loads[name] = measured
         return cls.empty(spark, machines=machines, **loads)
 
 

@@ -29,11 +29,10 @@ def small(spark):
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    """No side passes the size check, as with tables far larger than these."""
+def no_broadcast(spark):
+    """No side is small enough, as with tables far larger than these."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    monkeypatch.setattr("fleetwarden.plans.sizing.BROADCAST_ROW_LIMIT", 0)
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 

@@ -1,10 +1,12 @@
 """CSV reading and the load into the fleet tables."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetwarden import Tables, schemas
-from fleetwarden.operators import fleet, ingest, sensors
+from fleetwarden.operators import fleet, ingest, maintenance, sensors
 from fleetwarden.sources import telemetry_csv
 from fleetwarden.sources.telemetry_csv import CORRUPT, SOURCE_ORDER, read_telemetry_csv
 
@@ -186,6 +188,14 @@ def test_load_is_repeatable_and_keeps_other_loads(spark, tmp_path, rows):
     # Reports run on what was loaded.
     assert rows(sensors.pressure_trend_latest_day(t)) == [("2024-01-03 01:00:00", 120.0)]
     assert fleet.machine_status(t).count() == 2
+    assert {r["Industry"] for r in t.machines.collect()} == {"General"}
+    shares = dict(rows(sensors.sensor_contribution(t)))
+    assert set(shares) == set(sensors.MEASURED) and set(shares.values()) == {25.0}
+    assert maintenance.mtbf_monthly(t).count() == 0
+    measured = spark.createDataFrame([(date(2024, 1, 5), 1.0, 2.0)], schemas.MAINTENANCE_EFFECTIVENESS)
+    measured.write.parquet(f"{root}/maintenance_effectiveness")
+    t = Tables.from_warehouse(spark, root)
+    assert rows(maintenance.mtbf_monthly(t)) == [("2024-01", 1.0, 2.0)]
 
 
 def test_all_failures_can_be_loaded(spark, tmp_path):
@@ -220,6 +230,16 @@ def test_overrides_reach_every_row_of_a_machine(spark, rows):
     ]
 
 
+def test_last_override_counts_once(spark, rows):
+    schedule = spark.sql("SELECT 1L AS Maintenance_ID, 'a' AS Machine_ID, DATE '2024-01-01' AS Scheduled_Date")
+    dates = spark.sql(
+        """SELECT * FROM VALUES ('a', DATE '2025-05-05', 1), ('a', DATE '2025-01-01', 2)
+        AS o(Machine_ID, Scheduled_Date, given)"""
+    )
+    moved = ingest.apply_schedule_overrides(schedule, dates, "given")
+    assert [str(r["Scheduled_Date"]) for r in moved.collect()] == ["2025-01-01"]
+
+
 def test_written_csv_reads_back(spark, tmp_path):
     path = write_csv(tmp_path / "t.csv", [reading("a", "2024-01-01 10:00:00.123456", Failure_Type="x")])
     feed = read_telemetry_csv(spark, path).select(*schemas.TELEMETRY.names)

@@ -10,7 +10,6 @@ from checks.presentation_checks import SCREENS
 from checks.report_checks import REPORTS
 from fleetwarden import Tables, schemas
 from fleetwarden.operators import failures, fleet, maintenance, sensors
-from fleetwarden.plans import sizing
 from fleetwarden.plans.day_filters import newest_days
 
 AS_OF = "2000-01-01"
@@ -125,16 +124,21 @@ def test_top_lists_are_not_sorted_whole(stored):
         assert "TakeOrderedAndProject" in plan(operator(stored))
 
 
-def test_size_check(spark, monkeypatch):
-    side = spark.range(100).selectExpr("id AS Machine_ID")
-    assert sizing.broadcastable(side) is side
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+def test_reports_are_lazy(small, no_broadcast, spark):
+    """No job runs while a report is built."""
+    group = "reports-are-lazy"
+    spark.sparkContext.setJobGroup(group, group)
     try:
-        assert sizing.broadcastable(side, row_limit=100) is not None
-        assert sizing.broadcastable(side, row_limit=99) is None
+        for operator in (
+            lambda t: maintenance.cost_benefit(t, AS_OF),
+            sensors.failure_probability_by_temperature,
+            sensors.sensor_trends_hourly_failed_machines,
+            failures.failure_rate_by_machine_type,
+        ):
+            operator(small)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 HOT = "Machine_0"

@@ -114,3 +114,25 @@ def test_repeated_delivery_is_loaded_once(spark, small, tmp_path, telemetry_rows
         loaded = spark.read.parquet(f"{root}/{table}")
         assert loaded.count() == telemetry_rows.count()
         assert loaded.select("Machine_ID", "Timestamp").distinct().count() == loaded.count()
+
+
+def test_new_queries_and_equal_instants_keep_every_row(spark, tmp_path, telemetry_rows):
+    """A second query adds to what the first one loaded; readings of one instant differ."""
+    first = telemetry_rows.where("Timestamp < '2024-01-10'")
+    other = first.withColumn("Temperature", F.col("Temperature") + 1)
+    root, total = f"{tmp_path}/warehouse", 0
+    for n, part in enumerate((first.unionAll(other), telemetry_rows.where("Timestamp >= '2024-01-10'"))):
+        folder = f"{tmp_path}/{n}"
+        _drop(part, folder)
+        query = (
+            stream_ingest.load_stream(_source(spark, folder, telemetry_rows.schema), root)
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        total += part.count()
+    for table, key in stream_ingest.KEYS.items():
+        loaded = spark.read.parquet(f"{root}/{table}")
+        assert loaded.count() == total and loaded.where(F.col(key).isNull()).count() == 0
+    assert spark.read.parquet(f"{root}/sensor_data").select("Sensor_ID").distinct().count() == total
