@@ -6,7 +6,7 @@ kind it is more like. A logistic curve, fitted to labelled texts that are in nei
 dictionary, turns that into a score. Scoring is one pass without a shuffle, over whole texts.
 
 Dictionaries and curve are made from at most ``max_rows`` labelled rows, for each label those
-with the smallest hash of their id; every other one is for the dictionaries. The curve is
+with the smallest hash of their id; the first half is for the dictionaries. The curve is
 fitted to whole texts, which are compressed where they are read.
 
 Defined results: null and empty texts score as the curve does at a difference of zero; rows
@@ -94,9 +94,11 @@ def fit(
     for kind in (0, 1):
         best = rows.where(F.col("label") == kind).orderBy(at, "doc_id").limit(max_rows // 2)
         chosen = best if chosen is None else chosen.union(best)
-    # at most max_rows rows: every other one of a kind goes to its dictionary
-    place = F.row_number().over(Window.partitionBy("label").orderBy(at, "doc_id"))
-    chosen = F.broadcast(chosen.withColumn("place", place))
+    # at most max_rows rows: the first half of a kind goes to its dictionary
+    kind = Window.partitionBy("label")
+    place = F.row_number().over(kind.orderBy(at, "doc_id"))
+    half = F.greatest(F.lit(1), F.floor(F.count("*").over(kind) / 2))
+    chosen = F.broadcast(chosen.select("*", place.alias("place"), half.alias("half")))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").where("length(text) > 0")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = counts.get(0, 0), counts.get(1, 0)
@@ -105,7 +107,7 @@ def fit(
     last_start = F.greatest(F.lit(1), F.length("text") - EXCERPT + 2)
     start = F.pmod(F.xxhash64("doc_id", F.lit(8)), last_start).cast("int") + 1
     excerpt = F.substr("text", start, F.lit(EXCERPT)).alias("text")
-    taught = sample.where("place % 2 = 1").select("place", "label", excerpt).toArrow()
+    taught = sample.where("place <= half").select("place", "label", excerpt).toArrow()
     taught = taught.sort_by([("place", "ascending"), ("label", "ascending"), ("text", "ascending")])
     contents: dict[int, list[bytes]] = {0: [], 1: []}
     for kind, own in zip(taught.column("label").to_pylist(), taught.column("text").to_pylist()):
@@ -125,7 +127,7 @@ def fit(
                 x = pa.array(sizes.differences(rows.column("text")))
                 yield from rows.select(["place", "label"]).append_column("x", x).to_batches()
 
-    rest = sample.where("place % 2 = 0").select("place", "label", "text")
+    rest = sample.where("place > half").select("place", "label", "text")
     rest = rest.mapInArrow(measure, "place int, label int, x double").toArrow()
     rest = rest.sort_by([("place", "ascending"), ("label", "ascending"), ("x", "ascending")])
     truth = rest.column("label").to_numpy().astype(float)
