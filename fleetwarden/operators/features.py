@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,6 @@ NUMERIC = tuple(
     for name in schemas.TELEMETRY.names
     if name not in DROPPED and name not in CATEGORICAL and name != LABEL
 )
-MAX_LEVELS = 1000
 
 
 @dataclass(frozen=True)
@@ -53,8 +52,28 @@ class FeatureSpec:
         ]
         return numeric + encoded
 
-    def vector(self) -> Column:
-        return array_to_vector(F.array(*self.expressions()))
+    def with_vector(self, rows: DataFrame, *keep: str | Column) -> DataFrame:
+        """``keep`` and the same features as one vector, ``features``.
+
+        The vector is sparse, so a column of very many levels costs a row one entry.
+        """
+        encoded = [name for name, levels in self.levels.items() if levels]
+        numeric = {f"_number_{i}": _cleaned(F.col(name)) for i, name in enumerate(self.numeric)}
+        level = {f"_level_{i}": F.col(name) for i, name in enumerate(encoded)}
+        index, vector = ([f"{c}_{kind}" for c in level] for kind in ("index", "vector"))
+        rows = rows.select(*keep, *[c.alias(name) for name, c in (numeric | level).items()])
+        for name, text, number in zip(encoded, level, index):
+            # other levels and NULL share the last index, which the encoder leaves out
+            labels = list(self.levels[name])
+            indexer = StringIndexerModel.from_labels(labels, text, number, handleInvalid="keep")
+            rows = indexer.transform(rows)
+        if encoded:
+            rows = OneHotEncoder(inputCols=index, outputCols=vector).fit(rows).transform(rows)
+        assembler = VectorAssembler(
+            inputCols=[*numeric, *vector], outputCol="features", handleInvalid="keep"
+        )
+        made = assembler.transform(rows).drop(*numeric, *level, *index, *vector)
+        return made.withMetadata("features", {})
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write one row per feature column, in order."""
@@ -85,20 +104,17 @@ def fit_features(telemetry: DataFrame, numeric: tuple[str, ...] = NUMERIC) -> Fe
 
     NULLs are filled before encoding, so a column with gaps has the fill value as
     its lowest level.  The lowest level of each column is left out: the fill value
-    where there are gaps, else the first in alphabetical order.  Levels become
-    columns, so a column with more than ``MAX_LEVELS`` of them is an error.
+    where there are gaps, else the first in alphabetical order.  The levels are held on
+    the driver, as MLlib's indexer holds them.
     """
     long_form = F.array(
         *[F.struct(F.lit(name).alias("name"), F.col(name).alias("level")) for name in CATEGORICAL]
     )
-    distinct = telemetry.select(F.inline(long_form)).distinct()
     found: dict[str, list] = {name: [] for name in CATEGORICAL}
-    for name, level in distinct.limit(len(CATEGORICAL) * MAX_LEVELS + 1).collect():
+    for name, level in telemetry.select(F.inline(long_form)).distinct().collect():
         found[name].append(level)
     levels = {}
     for name, values in found.items():
-        if len(values) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} categories")
         known = sorted(level for level in values if level is not None)
         has_gaps = len(known) < len(values)
         levels[name] = tuple(known if has_gaps else known[1:])
@@ -114,4 +130,4 @@ def prepare_features(telemetry: DataFrame, spec: FeatureSpec, *keep: str) -> Dat
 def training_rows(telemetry: DataFrame, spec: FeatureSpec, *keep: str) -> DataFrame:
     """The same features as one vector column, for the classifier."""
     label = F.coalesce(F.col(LABEL), F.lit(0)).cast("double").alias("label")
-    return telemetry.select(*keep, spec.vector().alias("features"), label)
+    return spec.with_vector(telemetry, *keep, label).select(*keep, "features", "label")

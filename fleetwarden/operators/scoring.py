@@ -136,7 +136,7 @@ def batch_score(
         *[column.alias(name) for name, column in named.items()],
     )
     accepted = F.col("error").isNull()
-    vectors = inputs.select(*lines.columns, "error", "reasons", spec.vector().alias("features"))
+    vectors = spec.with_vector(inputs, *lines.columns, "error", "reasons")
     return scored(model, vectors).select(
         *lines.columns,
         F.when(accepted, F.col("prediction")).alias("prediction"),

@@ -113,10 +113,28 @@ def test_gaps_and_negatives_count_as_zero(spark):
     assert (row["Voltage"], row["Age"], row["Current"]) == (0.0, 0.0, 1.0)
 
 
-def test_too_many_levels(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_LEVELS", 2)
-    with pytest.raises(ValueError, match="Machine_Type"):
-        fit_features(_telemetry(spark, [(k, "Low", "x") for k in "ABC"]))
+def test_many_levels_are_encoded_sparsely(spark):
+    kinds = [(f"kind {k:05}", "Low", "x") for k in range(3000)]
+    frame = _telemetry(spark, kinds)
+    spec = fit_features(frame)
+    assert [len(found) for found in spec.levels.values()] == [2999, 0, 0]
+    rows = features.training_rows(frame, spec, "Machine_Type").collect()
+    width = len(features.NUMERIC)
+    for row in rows:
+        hot = int(row["Machine_Type"].removeprefix("kind ")) - 1  # the lowest level has no entry
+        assert row["features"].size == width + 2999
+        entries = [int(i) - width for i in row["features"].indices if i >= width]
+        assert entries == ([hot] if hot >= 0 else [])
+
+
+def test_vector_equals_columns(spark):
+    frame = _telemetry(spark, [("B", "Low", None), ("A", "High", "Preventive"), ("C", "Low", "x")])
+    spec = fit_features(frame)
+    other = _telemetry(spark, [("Z", None, "Preventive"), ("B", "Low", "unseen")])
+    both = frame.unionByName(other).withColumn("Voltage", F.lit(-3.0))
+    vectors = [r["features"].toArray().tolist() for r in features.training_rows(both, spec).collect()]
+    columns = [list(r) for r in both.select(*spec.expressions()).collect()]
+    assert sorted(vectors) == sorted(columns)
 
 
 @pytest.fixture(scope="module")
