@@ -26,18 +26,23 @@ def hourly_sensor_averages(
 ) -> DataFrame:
     """Average of each sensor per hour, and per machine type when ``machines`` is given.
 
-    The machine table is joined as a static side.  In append mode an hour is emitted
-    once the watermark has passed its end.
+    The machine table is joined as a static side, after the readings of an hour are summed
+    by machine: a busy machine is one row an hour when it moves for the join.  In append
+    mode an hour is emitted once the watermark has passed its end.
     """
     timed = with_event_time(readings, late_by)
-    groups = [F.window("event_time", HOUR).alias("hour")]
-    if machines is not None:
-        timed = timed.join(machines.select(MACHINE, "Machine_Type"), MACHINE)
-        groups.append(F.col("Machine_Type"))
-    averaged = timed.groupBy(*groups).agg(
-        *[F.avg(s).alias(s) for s in sensors], F.count(F.lit(1)).alias("readings")
-    )
-    keys = [] if machines is None else ["Machine_Type"]
+    hour = F.window("event_time", HOUR).alias("hour")
+    count = F.count(F.lit(1)).alias("readings")
+    keys = []
+    if machines is None:
+        averaged = timed.groupBy(hour).agg(*[F.avg(s).alias(s) for s in sensors], count)
+    else:
+        keys = ["Machine_Type"]
+        sums = [F.struct(F.sum(s).alias("sum"), F.count(s).alias("n")).alias(s) for s in sensors]
+        by_machine = timed.groupBy(hour, MACHINE).agg(*sums, count)
+        typed = by_machine.join(machines.select(MACHINE, *keys), MACHINE)
+        averages = [F.try_divide(F.sum(f"{s}.sum"), F.sum(f"{s}.n")).alias(s) for s in sensors]
+        averaged = typed.groupBy("hour", *keys).agg(*averages, F.sum("readings").alias("readings"))
     return averaged.select(
         F.col("hour.start").cast("timestamp_ntz").alias("hour"), *keys, *sensors, "readings"
     )
