@@ -1,8 +1,11 @@
 """Removal of lines that a document shares with an earlier one, by pairwise alignment.
 
-Every line that several documents hold leads each of them to the first holder, so that the
-pairs to look at are at most one for each line of a document however common the line is: all
-holders of a passage meet the document it came from, and a frequent line needs no cap. A pair
+Every line that several documents hold leads each of them to the first holder, and so does every
+shortest run of lines with ``MIN_WORDS`` words, counted on from each line and back from it. Each
+line of a block that can go is in such a run inside the block, so whoever shares it meets the
+document that first holds that run, also if its single lines were seen elsewhere before. The
+pairs to look at are at most three for each line of a document however common the line is: a
+frequent line needs no cap. A pair
 is aligned by patience diff: lines that are unique in both are matched along their longest
 common order, the gaps between are treated the same way, and matches grow over equal
 neighbours. A block of consecutive matched lines goes from the later document if it has at
@@ -55,6 +58,29 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """First line, end and key of every shortest run of ``min_words`` words inside one document.
+
+    Runs start or end at each line that is not blank; ``offsets`` are the documents' first lines
+    and the total. The key of a run of one line is the line's hash.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    line = np.flatnonzero(words)
+    least = max(1, min_words)
+    owner = np.searchsorted(offsets, line, "right")
+    ends = np.searchsorted(total, total[line] + least)
+    starts = np.searchsorted(total, total[line + 1] - least, "right") - 1
+    on, back = ends <= offsets[owner], starts >= offsets[owner - 1]
+    starts, ends = np.concatenate([line[on], starts[back]]), np.concatenate([ends[on], line[back] + 1])
+    up, _ = text.powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(text.mix(hashes + text.U(text.BASE)) * up[:-1], out=sums[1:])
+    keys = text.span_hashes(sums, starts, ends)
+    single = ends - starts == 1
+    keys[single] = hashes[starts[single]]
+    return starts, ends, keys
+
+
 def _anchors(a: list[int], b: list[int], lo: int, hi: int, lo2: int, hi2: int) -> list[tuple[int, int]]:
     """Lines unique in both ranges, along their longest common order."""
     at: dict[int, int] = {}
@@ -140,19 +166,29 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     return known.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _pairs(rows: DataFrame, kind: str) -> DataFrame:
-    """Distinct (doc_id, first): each document with the first holders of its lines."""
+def _pairs(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """Distinct (doc_id, first): each document with the first holders of its lines and runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column("lines").to_pylist()]
-            lines = [x[x != 0] for x in lines]
-            owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-            ids = batch.column("doc_id").take(pa.array(owner))
-            line = pa.array(np.concatenate([np.empty(0, np.int64), *lines]))
-            yield pa.RecordBatch.from_arrays([line, ids], ["line", "doc_id"])
-
-    held = rows.select("doc_id", "lines").mapInArrow(run, f"line bigint, doc_id {kind}")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lines = [np.frombuffer(x, np.uint64) for x in part.column("lines").to_pylist()]
+                words = [np.frombuffer(x, np.int32) for x in part.column("words").to_pylist()]
+                offsets = np.cumsum([0, *map(len, lines)])
+                lines, words = np.concatenate(lines), np.concatenate(words)
+                starts, _, keys = runs(lines, words, offsets, min_words)
+                single = np.flatnonzero(lines)
+                keys = np.concatenate([lines[single], keys]).view(np.int64)
+                owner = np.searchsorted(offsets, np.concatenate([single, starts]), "right") - 1
+                order = np.lexsort((keys, owner))
+                keys, owner = keys[order], owner[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+                ids = part.column("doc_id").take(pa.array(owner[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), ids], ["line", "doc_id"])
+
+    held = rows.select("doc_id", "lines", "words").mapInArrow(run, f"line bigint, doc_id {kind}")
     first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = first.where("first <> last").select("line", "first")
     return held.join(first, "line").where("doc_id <> first").select("doc_id", "first").distinct()
@@ -163,7 +199,7 @@ def remove_shared_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataF
     docs = without(docs, ["n_lines", "n_removed"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(_line_rows(docs))
-    pairs = _pairs(rows, kind)
+    pairs = _pairs(rows, kind, min_words)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -166,6 +166,26 @@ def test_patience_deletes_common_blocks(make):
     assert lines.patience(a, b) == [(1, 0), (2, 1), (4, 3), (5, 4)]
 
 
+def test_block_of_short_lines_meets_its_first_holder(make):
+    one, two, three = "a line of six words here", "and this one has six words", "three more words"
+    rows = [
+        (1, f"own 1\n{one}"),
+        (2, f"own 2\n{two}"),
+        (3, f"own 3\n{three}"),
+        (4, f"own 4\n{one}\n{two}\nend 4"),
+        (5, f"own 5\n{one}\n\n{two}\n{three}\nend 5"),
+        (6, f"own 6\n{one}\n{two}\n{three}\nend 6"),
+        (7, f"own 7\n{one}\n\n{two}\n{three}"),
+        (8, f"own 8\n{two}\n{three}"),
+        (9, f"{one}\n{two}\nown 9\n{three}"),
+        (10, f"own 10\n{one}\n{two}\n{three}\nend 10"),
+    ]
+    found = {r.doc_id: r.text for r in lines.remove_shared_lines(make(rows)).collect()}
+    want = {i: t for i, t in rows}
+    want |= {6: f"own 6\n{three}\nend 6", 7: "own 7", 9: f"own 9\n{three}", 10: "own 10\nend 10"}
+    assert found == want
+
+
 def test_line_dedup_keeps_every_line_somewhere(small, make, edges):
     docs = small("documents")
     before = {x.strip() for _, t in pairs(docs) for x in t.split("\n")}
