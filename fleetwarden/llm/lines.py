@@ -9,7 +9,8 @@ frequent line needs no cap. A pair
 is aligned by patience diff: lines that are unique in both are matched along their longest
 common order, the gaps between are treated the same way, and matches grow over equal
 neighbours. A block of consecutive matched lines goes from the later document if it has at
-least ``MIN_WORDS`` words. Since every such line stays in its first holder, no passage is lost.
+least ``MIN_WORDS`` words. What is left of the later document is then held against the whole
+earlier one again, so that moved blocks and each copy of a repeated one go as well. Since every such line stays in its first holder, no passage is lost.
 
 Only line hashes, a few for each document, are shuffled for this; texts move once, to meet what
 is to be cut.
@@ -132,19 +133,75 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def longest_matches(a: list[int], b: list[int]) -> list[int]:
+    """For each place of a, how many lines up to it b holds one after another, wherever it does.
+
+    By the suffix automaton of b, in linear time however often lines repeat.
+    """
+    step, link, size, last = [{}], [-1], [0], 0
+    for x in b:
+        new, p = len(size), last
+        step.append({}), link.append(0), size.append(size[last] + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[q] > size[p] + 1:
+                copy = len(size)
+                step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q], q = copy, copy
+            link[new] = q
+        last = new
+    found, at, length = [], 0, 0
+    for x in a:
+        while at and x not in step[at]:
+            at = link[at]
+            length = size[at]
+        if x in step[at]:
+            at, length = step[at][x], length + 1
+        found.append(length)
+    return found
+
+
 def common_lines(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, min_words: int) -> list[int]:
-    """Lines of the later document in common blocks of at least ``min_words`` words."""
-    gone: list[int] = []
+    """Lines of the later document in common blocks of at least ``min_words`` words.
+
+    Blocks that the alignment leaves, since they are moved or repeated in one of the documents,
+    are then looked for in the whole earlier document.
+    """
+    gone: set[int] = set()
     block: list[int] = []
     before = (-2, -2)
     for i, j in [*patience(later.tolist(), earlier.tolist()), (-1, -1)]:
         if (i - 1, j - 1) != before:
             if sum(int(words[k]) for k in block) >= min_words:
-                gone += block
+                gone.update(block)
             block = []
         block.append(i)
         before = (i, j)
-    return gone
+    shared = np.isin(later, earlier)
+    left = shared & (words > 0)
+    left[list(gone)] = False
+    if left.any():
+        total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], shared, [0]]).astype(np.int8))).tolist()
+        stretches = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if left[s:e].any()]
+        stretches = [(s, e) for s, e in stretches if total[e] - total[s] >= min_words]
+        # A line between two stretches is in no match.
+        places = [i for s, e in stretches for i in range(s, e + 1)]
+        own = [int(later[i]) if i < len(later) and shared[i] else -1 for i in places]
+        found = longest_matches(own, earlier.tolist()) if own else []
+        reach = len(later)
+        for i, n in zip(reversed(places), reversed(found)):
+            if n and total[i + 1] - total[i + 1 - n] >= min_words:
+                reach = min(reach, i + 1 - n)
+            if n and i >= reach:
+                gone.add(i)
+    return sorted(gone)
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:

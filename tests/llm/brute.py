@@ -53,3 +53,20 @@ def repeats(rows, length=100):
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out.append((doc_id, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
+
+
+def without_blocks(rows, least=10):
+    """Texts, blank lines aside, without the lines of blocks that a document of lower id holds."""
+    split = {i: [x.strip() for x in t.split("\n")] for i, t in rows}
+    out = {}
+    for i, own in split.items():
+        gone = set()
+        for first, end in itertools.combinations(range(len(own) + 1), 2):
+            block = own[first:end]
+            if sum(len(x.split()) for x in block) >= least:
+                others = [x for j, x in split.items() if j < i]
+                n = end - first
+                if any(block == x[k : k + n] for x in others for k in range(len(x) - n + 1)):
+                    gone.update(range(first, end))
+        out[i] = [x for k, x in enumerate(own) if x and k not in gone]
+    return out

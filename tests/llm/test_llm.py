@@ -186,6 +186,29 @@ def test_block_of_short_lines_meets_its_first_holder(make):
     assert found == want
 
 
+def test_moved_and_repeated_blocks_go(make):
+    one, two = "this line has more than ten words in it to be long", "so has this other line which is long as well now"
+    pair = "twice these five words here\nand then five more words"
+    rows = [
+        (1, f"own 1\n{one}\nmiddle 1\n{two}"),
+        (2, f"{two}\nown 2\n{one}"),
+        (3, f"{one}\nown 3\n{one}\nend 3"),
+        (4, f"{pair}\nx\n{pair}"),
+        (5, f"own 5\n{pair}\nend 5"),
+    ]
+    found = {r.doc_id: r.text for r in lines.remove_shared_lines(make(rows)).collect()}
+    assert found == {1: rows[0][1], 2: "own 2", 3: "own 3\nend 3", 4: rows[3][1], 5: "own 5\nend 5"}
+
+
+def test_line_dedup_is_brute_force(make):
+    random.seed(5)
+    stock = ["", *(f"line {k}" + " w" * random.choice([0, 1, 3, 4, 7, 9]) for k in range(7))]
+    texts = ["\n".join(random.choices(stock, k=random.randint(0, 14))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.text for r in lines.remove_shared_lines(make(rows)).collect()}
+    assert {i: [x for x in t.split("\n") if x] for i, t in found.items()} == brute.without_blocks(rows)
+
+
 def test_line_dedup_keeps_every_line_somewhere(small, make, edges):
     docs = small("documents")
     before = {x.strip() for _, t in pairs(docs) for x in t.split("\n")}
