@@ -5,11 +5,14 @@ of leading ``>`` marks). A passage and a message's own paragraphs are normalised
 blanks joined) and hashed; equal hashes of one conversation link the passage to the earliest
 message that holds it, if that is before the quoting one. A message replies to the latest
 message that its outermost quotes link to; without a link, to the message before it. The
-conversation is then ordered so that every message follows the one it replies to, without quotes.
+conversation is then ordered along these replies: after each message come, in the order of their
+turns, the messages that reply to it, each with all that follows from it, without quotes.
 
 Each (conversation, hash) is reduced to its earliest holder before the join, so that a passage
 which all messages share makes one row for each quote, and a large conversation is sorted by
-Spark, never gathered.
+Spark, never gathered. Messages that each reply to the one before stay together as one thread;
+the threads of a conversation are entered and left along a list, which is ranked by pointer
+doubling, so that neither long nor deep conversations need paths or many rounds.
 
 Defined results: a null text is empty; a null conversation or turn is never linked and replies
 to nothing; rows of one conversation and turn are both kept, ordered by role and text; columns
@@ -86,22 +89,84 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     return messages.mapInArrow(run, ddl(messages, ADDED))
 
 
+def thread_offsets(threads: DataFrame) -> DataFrame:
+    """conv_id, head and how many messages of the conversation come before the thread.
+
+    ``threads`` has conv_id, head (its first message), size, and the thread ``up`` with the message
+    ``to`` in it that the head replies to. Threads come after the whole of the one they hang on,
+    those that hang further down first.
+    """
+    siblings = Window.partitionBy("conv_id", "up").orderBy(F.desc("to"), "head")
+    inside = threads.withColumn("beside", F.lead("head").over(siblings))
+    inside = cut(inside.withColumn("n", F.row_number().over(siblings)))
+    most = inside.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    below = inside.where("n = 1 AND up IS NOT NULL")
+    below = below.select("conv_id", F.col("up").alias("head"), F.col("head").alias("below"))
+    found = inside.join(below, ["conv_id", "head"], "left")
+    entered = F.struct(
+        (2 * F.col("head")).alias("node"),
+        F.coalesce(2 * F.col("below"), 2 * F.col("head") + 1).alias("next"),
+        F.col("size").alias("left"),
+    )
+    done = F.struct(
+        (2 * F.col("head") + 1).alias("node"),
+        F.coalesce(2 * F.col("beside"), 2 * F.col("up") + 1).alias("next"),
+        F.lit(0).cast("bigint").alias("left"),
+    )
+    places = found.select("conv_id", F.explode(F.array(entered, done)).alias("p")).select("conv_id", "p.*")
+    for _ in range((2 * most).bit_length()):
+        places = cut(places)
+        then = places.selectExpr("conv_id", "node AS next", "next AS after", "left AS more")
+        places = places.join(then, ["conv_id", "next"], "left")
+        places = places.selectExpr("conv_id", "node", "after AS next", "left + coalesce(more, 0) AS left")
+    heads = places.where("node % 2 = 0").select("conv_id", (F.col("node") / 2).cast("bigint").alias("head"), "left")
+    total = threads.groupBy("conv_id").agg(F.sum("size").alias("total"))
+    return heads.join(total, "conv_id").select("conv_id", "head", (F.col("total") - F.col("left")).alias("offset"))
+
+
+def _positions(messages: DataFrame, branches: DataFrame) -> DataFrame:
+    """conv_id, rank and position of the messages in conversations with branches.
+
+    ``messages`` has conv_id and rank (the order of turns); ``branches`` those that reply to another
+    message (``to``, a rank) than the one before.
+    """
+    so_far = Window.partitionBy("conv_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    found = messages.join(branches.select("conv_id").distinct(), "conv_id", "left_semi")
+    found = found.join(branches, ["conv_id", "rank"], "left")
+    head = F.max(F.when(F.col("to").isNotNull(), F.col("rank"))).over(so_far)
+    found = cut(found.withColumn("head", F.coalesce(head, F.lit(1).cast("bigint"))))
+    sizes = found.groupBy("conv_id", "head").agg(F.count("*").alias("size"))
+    holders = found.select("conv_id", F.col("rank").alias("to"), F.col("head").alias("up"))
+    hung = branches.withColumnRenamed("rank", "head").join(holders, ["conv_id", "to"])
+    offsets = thread_offsets(cut(sizes.join(hung, ["conv_id", "head"], "left")))
+    position = F.col("offset") + F.col("rank") - F.col("head") + 1
+    return found.join(offsets, ["conv_id", "head"]).select("conv_id", "rank", position.alias("position"))
+
+
 def order_conversations(messages: DataFrame) -> DataFrame:
     """conv_id, position, turn, role, own_text, reply_to (a turn), n_quotes and n_linked."""
     parsed = parse_messages(messages.select("conv_id", "turn", "role", "text"))
-    parsed = cut(parsed.withColumn("row", F.monotonically_increasing_id()))
-    own = parsed.select("conv_id", "turn", F.explode("own_hashes").alias("hash"))
-    holder = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("from"))
-    quoted = parsed.select("row", "conv_id", "turn", F.posexplode("quotes").alias("at", "quote"))
-    quoted = quoted.select("row", "conv_id", "turn", "quote.level", "quote.hash")
-    linked = quoted.join(holder, ["conv_id", "hash"]).where("from < turn")
-    replies = linked.groupBy("row").agg(
+    parsed = parsed.withColumn("row", F.monotonically_increasing_id())
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "row")
+    parsed = parsed.withColumn("before", F.lag("turn").over(order))
+    parsed = cut(parsed.withColumn("rank", F.row_number().over(order).cast("bigint")).drop("text"))
+    own = parsed.where("turn IS NOT NULL").select("conv_id", "turn", "rank", F.explode("own_hashes").alias("hash"))
+    holder = own.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "rank")).alias("from"))
+    quoted = parsed.select("row", "conv_id", "turn", "rank", F.posexplode("quotes").alias("at", "quote"))
+    quoted = quoted.select("row", "conv_id", "turn", "rank", "quote.level", "quote.hash")
+    linked = quoted.join(holder, ["conv_id", "hash"]).where("from.turn < turn")
+    replies = linked.groupBy("row", "conv_id", "rank").agg(
         F.count("*").alias("n_linked"), F.max_by("from", F.struct(-F.col("level"), "from")).alias("linked_to")
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "row")
-    found = parsed.join(replies, "row", "left")
-    found = found.withColumn("before", F.lag("turn").over(order))
-    found = found.withColumn("position", F.row_number().over(order).cast("bigint"))
+    replies = cut(replies)
+    found = parsed.join(replies.drop("conv_id", "rank"), "row", "left")
+    branches = replies.select("conv_id", "rank", F.col("linked_to.rank").alias("to")).where("to <> rank - 1")
+    if branches.isEmpty():
+        found = found.withColumn("position", F.col("rank"))
+    else:
+        moved = _positions(parsed.select("conv_id", "rank"), branches)
+        found = found.join(moved.withColumnRenamed("position", "moved"), ["conv_id", "rank"], "left")
+        found = found.withColumn("position", F.coalesce("moved", "rank"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     return found.select(
         "conv_id",
@@ -109,7 +174,7 @@ def order_conversations(messages: DataFrame) -> DataFrame:
         "turn",
         "role",
         "own_text",
-        F.when(known, F.coalesce("linked_to", "before")).alias("reply_to"),
+        F.when(known, F.coalesce("linked_to.turn", "before")).alias("reply_to"),
         F.size("quotes").cast("bigint").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
     )

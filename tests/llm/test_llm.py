@@ -320,6 +320,37 @@ def test_quotations(spark):
     assert len(found) == len(rows)
 
 
+def reply_order(replies):
+    """Turns, each followed by those that reply to it."""
+    found, todo = [], [0]
+    while todo:
+        found.append(todo.pop())
+        todo += sorted((t for t, to in replies.items() if to == found[-1]), reverse=True)
+    return found
+
+
+def test_messages_follow_what_they_reply_to(spark):
+    random.seed(3)
+    answers = {0: {2: 0, 3: 1, 4: 2}, 1: {}, 2: {t: t - 2 for t in range(2, 40)}, 3: {t: 0 for t in range(1, 9)}}
+    answers |= {c: {t: random.randrange(t) for t in range(1, 30) if random.random() < 0.6} for c in range(4, 12)}
+    rows, want = [], []
+    for conv, links in answers.items():
+        n = max(links, default=4) + 1
+        said = [f"words of message {t}" for t in range(n)]
+        for t in range(n):
+            text = f"> {said[links[t]]}\n{said[t]}" if t in links else said[t]
+            rows.append((conv, t, "user", text))
+        want += [(conv, t) for t in reply_order({t: links.get(t, t - 1) for t in range(1, n)})]
+    rows.append((None, 0, "user", "alone"))
+    random.shuffle(rows)
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = quotations.order_conversations(messages).where("conv_id IS NOT NULL")
+    rows = found.orderBy("conv_id", "position").collect()
+    assert [(r.conv_id, r.turn) for r in rows] == want
+    assert [r.turn for r in rows if r.conv_id == 0] == [0, 1, 3, 2, 4]
+    assert all(a.position + 1 == b.position for a, b in zip(rows, rows[1:]) if a.conv_id == b.conv_id)
+
+
 def test_word_hashes_agree_with_bytes():
     import pyarrow as pa
 
