@@ -3,12 +3,15 @@
 A message's lines are parsed into its own text and quoted passages with their level (the number
 of leading ``>`` marks). A passage and a message's own paragraphs are normalised (lower case,
 blanks joined) and hashed; equal hashes of one conversation link the passage to the earliest
-message that holds it, if that is before the quoting one. A message replies to the latest
+message that holds it, if that is before the quoting one. A passage that equals no text or
+paragraph is looked for as a run of consecutive words of the own texts, whatever lines they are in,
+so that parts of a paragraph and quotes cut up by replies are linked as well. A message replies to the latest
 message that its outermost quotes link to; without a link, to the message before it. The
 conversation is then ordered along these replies: after each message come, in the order of their
 turns, the messages that reply to it, each with all that follows from it, without quotes.
 
-Each (conversation, hash) is reduced to its earliest holder before the join, so that a passage
+Runs are hashed in the lengths that the passages of their conversation have, and only where there
+are any. Each (conversation, hash) is reduced to its earliest holder before the join, so that a passage
 which all messages share makes one row for each quote, and a large conversation is sorted by
 Spark, never gathered. Messages that each reply to the one before stay together as one thread;
 the threads of a conversation are entered and left along a list, which is ranked by pointer
@@ -24,17 +27,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwarden.llm import text
 from fleetwarden.llm.frames import cut, ddl, without
 
 MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$", re.DOTALL)
 #: The line that mail programs put before a quote.
 INTRODUCTION = re.compile(r"^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.I)
-ADDED = "own_text string, own_hashes array<bigint>, quotes array<struct<level:int,hash:bigint>>"
+ADDED = (
+    "own_text string, own_hashes array<bigint>, quotes array<struct<level:int,hash:bigint,words:int,run:bigint>>"
+)
 
 
 def normal_hash(lines: list[str]) -> int | None:
@@ -45,8 +52,18 @@ def normal_hash(lines: list[str]) -> int | None:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - 2**63
 
 
-def parse(message: str) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """Own text, hashes of it and of its paragraphs, and (level, hash) of each quoted passage."""
+def run_hashes(message: str, lengths: list[int]) -> np.ndarray:
+    """The distinct hashes of all runs of so many words, without regard to case and blanks."""
+    data = np.frombuffer(" ".join(message.lower().split()).encode(), np.uint8)
+    starts, ends, _ = text.words(data, np.array([0, len(data)]), text.NOT_BLANK)
+    sums = text.prefix_hashes(data)
+    runs = [text.span_hashes(sums, starts[: len(starts) - n + 1], ends[n - 1 :]) for n in lengths if n <= len(starts)]
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *runs])).view(np.int64)
+
+
+def parse(message: str) -> tuple[str, list[int], list[tuple[int, int, int, int]]]:
+    """Own text, hashes of it and of its paragraphs, and of each quoted passage the level, the
+    hash, the number of words and their hash as a run."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     level_before = 0
@@ -67,14 +84,19 @@ def parse(message: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     for line in own:
         paragraphs[-1].append(line) if line.strip() else paragraphs.append([])
     hashes = {normal_hash(own), *map(normal_hash, paragraphs)} - {None}
-    quotes = [(level, normal_hash(lines)) for level, lines in passages]
+    quotes = []
+    for level, lines in passages:
+        n = len(" ".join(lines).lower().split())
+        quotes.append((level, normal_hash(lines), n, int(run_hashes(" ".join(lines), [n])[0])))
     return "\n".join(own).strip("\n"), sorted(hashes), quotes
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """The messages with own_text, own_hashes and quotes."""
     messages = without(messages, ["own_text", "own_hashes", "quotes"])
-    quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
+    names = ("level", "hash", "words", "run")
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
+    quote = pa.list_(pa.struct(list(zip(names, kinds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,13 +104,31 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches([batch])
             rows = rows.append_column("own_text", pa.array([f[0] for f in found], pa.string()))
             rows = rows.append_column("own_hashes", pa.array([f[1] for f in found], pa.list_(pa.int64())))
-            quotes = [[{"level": a, "hash": b} for a, b in f[2]] for f in found]
+            quotes = [[dict(zip(names, q)) for q in f[2]] for f in found]
             rows = rows.append_column("quotes", pa.array(quotes, quote))
             yield from rows.to_batches()
 
     return messages.mapInArrow(run, ddl(messages, ADDED))
 
 
+def _first_runs(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv_id, run and the first message that holds it, for runs as long as quoted passages."""
+    lengths = quoted.groupBy("conv_id").agg(F.collect_set("words").alias("lengths"))
+    texts = parsed.where("turn IS NOT NULL").select("conv_id", "turn", "rank", "own_text").join(lengths, "conv_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lengths = batch.column("own_text").to_pylist(), batch.column("lengths").to_pylist()
+            for k, (own, sizes) in enumerate(zip(texts, lengths)):
+                hashes = run_hashes(own, sizes)
+                at = pa.array(np.full(len(hashes), k))
+                columns = [batch.column(n).take(at) for n in ("conv_id", "turn", "rank")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes)], ["conv_id", "turn", "rank", "run"])
+
+    runs = texts.mapInArrow(run, ddl(texts.select("conv_id", "turn", "rank"), "run bigint"))
+    return runs.groupBy("conv_id", "run").agg(F.min(F.struct("turn", "rank")).alias("from"))
+
+
 def thread_offsets(threads: DataFrame) -> DataFrame:
     """conv_id, head and how many messages of the conversation come before the thread.
 
@@ -153,8 +193,11 @@ def order_conversations(messages: DataFrame) -> DataFrame:
     own = parsed.where("turn IS NOT NULL").select("conv_id", "turn", "rank", F.explode("own_hashes").alias("hash"))
     holder = own.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "rank")).alias("from"))
     quoted = parsed.select("row", "conv_id", "turn", "rank", F.posexplode("quotes").alias("at", "quote"))
-    quoted = quoted.select("row", "conv_id", "turn", "rank", "quote.level", "quote.hash")
-    linked = quoted.join(holder, ["conv_id", "hash"]).where("from.turn < turn")
+    quoted = quoted.select("row", "conv_id", "turn", "rank", "quote.*").join(holder, ["conv_id", "hash"], "left")
+    quoted = cut(quoted.withColumn("from", F.when(F.col("from.turn") < F.col("turn"), F.col("from"))))
+    parts = quoted.where("from IS NULL AND turn IS NOT NULL").drop("from")
+    parts = parts.join(_first_runs(parsed, parts), ["conv_id", "run"]).where("from.turn < turn")
+    linked = quoted.where("from IS NOT NULL").unionByName(parts.select(quoted.columns))
     replies = linked.groupBy("row", "conv_id", "rank").agg(
         F.count("*").alias("n_linked"), F.max_by("from", F.struct(-F.col("level"), "from")).alias("linked_to")
     )

@@ -320,6 +320,29 @@ def test_quotations(spark):
     assert len(found) == len(rows)
 
 
+def test_quotes_of_parts_of_a_paragraph(spark):
+    rows = [
+        (1, 0, "user", "First we measure. Then we\ncut the board twice. Last we glue it."),
+        (1, 1, "assistant", "Glue it."),
+        (1, 2, "user", "> then we cut  the board twice.\nWhy twice?"),
+        (1, 3, "user", "> First we measure. Then we\nHow?\n> cut the board twice. Last we glue it.\nWith what?"),
+        (1, 4, "user", "> glue it.\nThe whole message counts first."),
+        (1, 5, "user", "> we cut board\nNot a run."),
+        (1, 6, "user", "> cut the board twice. Last we glue it. And\nToo long."),
+        (1, 7, "user", "> said later\nNothing before."),
+        (1, 8, "user", "This was said later on."),
+        (2, 0, "user", "Another."),
+        (2, 1, "user", "> First we measure.\nElsewhere."),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = {(r.conv_id, r.turn): r for r in quotations.order_conversations(messages).collect()}
+    linked = {k: (r.n_quotes, r.n_linked, r.reply_to) for k, r in found.items()}
+    assert linked[1, 2] == (1, 1, 0) and linked[1, 3] == (2, 2, 0) and linked[1, 4] == (1, 1, 1)
+    assert linked[1, 5] == (1, 0, 4) and linked[1, 6] == (1, 0, 5) and linked[1, 7] == (1, 0, 6)
+    assert linked[2, 1] == (1, 0, 0)
+    assert [r.turn for k, r in sorted(found.items(), key=lambda x: x[1].position) if k[0] == 1][:2] == [0, 1]
+
+
 def reply_order(replies):
     """Turns, each followed by those that reply to it."""
     found, todo = [], [0]
