@@ -69,6 +69,15 @@ def test_keep_one(make, edges):
     assert kept == [1, 2, 3, 4, 6, 9, 10, 11]
 
 
+def test_keep_one_of_repeated_ids(make):
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, one), (2, one), (2, other), (3, other), (4, "short"), (4, "short"), (4, "Short"), (5, one)]
+    rows += [(6, None), (6, None), (6, ""), (None, one), (None, one)]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(make(rows)).collect()]
+    want = [(1, one), (2, other), (4, "short"), (4, "Short"), (6, None), (6, ""), (None, one), (None, one)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5)]
     found = components.components(spark.createDataFrame(edges, "a long, b long"))
