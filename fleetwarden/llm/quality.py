@@ -32,8 +32,7 @@ from fleetwarden.llm.linear import fit_platt, sigmoid
 
 MAX_ROWS = 4000
 DICTIONARY_BYTES = 512 << 10
-#: A dictionary takes this many characters of one text at most, from a place that the id's
-#: hash gives, so that no long text fills it.
+#: Characters of one text that reach the driver at most, from a place that the id's hash gives.
 EXCERPT = 8 << 10
 LEVEL = 6
 
@@ -78,6 +77,23 @@ class Sizes:
         return np.array([self.difference(data[a:b]) for a, b in spans], float)
 
 
+def fair_share(texts: list[bytes], size: int) -> bytes:
+    """The texts, line by line, in ``size`` bytes: where they don't fit, the longest are cut alike."""
+    left = max(0, size - len(texts) + 1)
+    limit = extra = 0
+    for k, length in enumerate(sorted(map(len, texts))):
+        limit, extra = divmod(left, len(texts) - k)
+        if length > limit:
+            break
+        limit, extra, left = length, 0, left - length
+    parts = []
+    for t in texts:
+        more = int(len(t) > limit and extra > 0)
+        extra -= more
+        parts.append(t[: limit + more])
+    return b"\n".join(parts)[:size]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -85,8 +101,13 @@ def fit(
     label: str = "quality",
     max_rows: int = MAX_ROWS,
     dictionary_bytes: int = DICTIONARY_BYTES,
+    excerpt: int = EXCERPT,
 ) -> Model:
-    """Fit on the labelled documents given; leave held-out rows out of ``labels``."""
+    """Fit on the labelled documents given; leave held-out rows out of ``labels``.
+
+    Every row chosen for a dictionary of ``dictionary_bytes`` has a share of it, from at most
+    ``excerpt`` characters of its text.
+    """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").distinct()
     at = F.xxhash64("doc_id", F.lit(7))
@@ -104,17 +125,16 @@ def fit(
     n_bad, n_good = counts.get(0, 0), counts.get(1, 0)
     odds = float(np.log((n_good + 1) / (n_bad + 1)))
 
-    last_start = F.greatest(F.lit(1), F.length("text") - EXCERPT + 2)
+    last_start = F.greatest(F.lit(1), F.length("text") - excerpt + 2)
     start = F.pmod(F.xxhash64("doc_id", F.lit(8)), last_start).cast("int") + 1
-    excerpt = F.substr("text", start, F.lit(EXCERPT)).alias("text")
-    taught = sample.where("place <= half").select("place", "label", excerpt).toArrow()
+    piece = F.substr("text", start, F.lit(excerpt)).alias("text")
+    taught = sample.where("place <= half").select("place", "label", piece).toArrow()
     taught = taught.sort_by([("place", "ascending"), ("label", "ascending"), ("text", "ascending")])
     contents: dict[int, list[bytes]] = {0: [], 1: []}
     for kind, own in zip(taught.column("label").to_pylist(), taught.column("text").to_pylist()):
         contents[kind].append(own.encode())
-    good, bad = b"\n".join(contents[1]), b"\n".join(contents[0])
-    size = min(dictionary_bytes, len(good), len(bad))
-    good, bad = good[:size], bad[:size]
+    size = min(dictionary_bytes, *(len(b"\n".join(own)) for own in contents.values()))
+    good, bad = fair_share(contents[1], size), fair_share(contents[0], size)
     if not size:
         return Model(b"", b"", 0.0, odds)
     sent = share(docs, Model(good, bad, 0.0, 0.0))

@@ -250,6 +250,17 @@ def test_toxicity_and_quality(spark, small, make, edges):
         assert module.score(docs.limit(0), fitted).collect() == []
 
 
+def test_every_chosen_text_is_in_its_dictionary(spark):
+    rows = [(i, f"{'good' if i % 2 else 'bad'}{i} " + "x" * random.randint(0, 3000)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 AS quality")
+    model = quality.fit(docs, labels, dictionary_bytes=2000, excerpt=1000)
+    assert len(model.good) == len(model.bad) <= 2000
+    assert model.good.count(b"\n") == model.bad.count(b"\n") == 9
+    assert quality.fair_share([b"aaaaaa", b"b", b"cccc"], 10) == b"aaaa\nb\nccc"
+    assert quality.fair_share([b"aa", b"", b"c"], 9) == b"aa\n\nc" and quality.fair_share([], 5) == b""
+
+
 def test_language(spark, make, edges):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pieces = language.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
