@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,15 +16,20 @@ from fleetwarden.llm import (
     lines,
     neighbours,
     ngram_join,
+    periods,
     quality,
     quotations,
+    repair,
     repeats,
+    token_files,
     toxicity,
 )
-from fleetwarden.llm.frames import crc_mod, table
+from fleetwarden.llm.frames import crc_mod, shared_folder, table
+from fleetwarden.llm.sql import OP11_SQL, OP13_SQL
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +102,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.periodic_runs(periods.with_planted_runs(docs), keep_text=False)
+    best = periods.longest_by_exponent(F.col("runs"))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), folder)
+    return token_files.index(spark, folder)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repair(messages, copies="copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ngram_join,
@@ -108,12 +142,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_chat_formatting,
         op9_suffix_dedup,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_token_files,
+        op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {
+        "op4_decontamination": OP4_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op13_conversation_repair": OP13_SQL,
+    }
 
 
 OP4_SQL = r"""
