@@ -121,7 +121,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), folder)
+    path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+    token_files.write(table(spark, sf_dir, "documents"), path, pattern, folder)
     return token_files.index(spark, folder)
 
 

@@ -90,12 +90,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][: n + 1], _POWERS["down"][: n + 1]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running sums of which ``span_hashes`` takes differences."""
+def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """Running sums of which ``span_hashes`` takes differences; ``values`` are those of the bytes."""
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
     up, _ = powers(len(data))
-    np.cumsum(BYTE_VALUES[data] * up[:-1], out=sums[1:])
+    np.cumsum(values[data] * up[:-1], out=sums[1:])
     return sums
 
 

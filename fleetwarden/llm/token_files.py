@@ -30,7 +30,6 @@ columns are left out, whatever their names.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,12 +37,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetwarden.llm import text
 from fleetwarden.llm.frames import cut, share, shared
+from fleetwarden.llm.units import UnitEncoder, spans
 
 BLOCK = 256
 #: The share of a block's differences that its width holds.
@@ -51,9 +52,7 @@ WITHIN = 0.9
 #: Ids after which a shard is closed.
 SHARD = 1 << 20
 #: Different units of text whose ids a task remembers.
-UNITS_KEPT = 500_000
-#: A match of the tokenizer's pattern always begins here, so what lies between is encoded alone.
-UNIT_START = r" (?=\S)"
+UNITS_KEPT = 600_000
 
 MAGIC = b"PFR1"
 HEADER = "<4sIQQQQIIQ"
@@ -200,86 +199,74 @@ class Shard(NamedTuple):
         return cls(part, number, before, doc_ids, ends.astype(np.int64), ids)
 
 
-class Encoder:
-    """Whole texts to ids with the tokenizers library; texts are cut at UNIT_START and the ids of
-    each different unit are kept. New units go to the library joined, as one text."""
+def byte_signs() -> dict[int, int]:
+    """The byte alphabet: each byte's code point. Printable Latin-1 stands for itself, the other
+    bytes, in order, for the code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
-    def __init__(self, definition: str):
+
+class Encoder(UnitEncoder):
+    """Whole texts to ids with the tokenizers library's model, each different pre-token once.
+
+    The pattern of pre-tokens is matched here, so that the library is asked about each character
+    beyond ASCII, when it first comes, whether it takes it for a letter, a number, white space or
+    none of these as well; a unit with one that it sees differently goes to the library whole.
+    """
+
+    def __init__(self, definition: str, pattern: str):
         from tokenizers import Tokenizer
 
+        super().__init__(pattern, UNITS_KEPT)
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)  # one sign of the byte alphabet for each byte
-        self.split = re.compile(UNIT_START).split
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict = {}
-        self.ids = np.empty(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-
-    def _learn(self, keys: list) -> None:
-        """Ids of new units: strings stand behind a space, tuples for the first unit of a text."""
-        inner = [k for k in keys if isinstance(k, str)]
-        first = [k[0] for k in keys if not isinstance(k, str)]
-        ids, sizes = [], []
-        if inner:
-            (joined,) = self._library([" ".join(["", *inner])])
-            ends = np.cumsum([1 + len(k.encode()) for k in inner])
-            token_ends = np.cumsum(self.n_bytes[joined])
-            cuts = np.searchsorted(token_ends, ends)
-            if len(joined) and (token_ends[cuts.clip(max=len(joined) - 1)] == ends).all():
-                ids.append(joined)
-                sizes += np.diff(cuts + 1, prepend=0).tolist()
-            else:  # a token across two units; no such tokenizer is known
-                alone = self._library([" " + k for k in inner])
-                ids += alone
-                sizes += [len(x) for x in alone]
-        alone = self._library(first)
-        ids += alone
-        sizes += [len(x) for x in alone]
-        for k in (*inner, *((x,) for x in first)):
-            self.known[k] = len(self.known)
-        self.ids = np.concatenate([self.ids, *ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.model = self.tokenizer.model
+        self.agreed = set(map(chr, range(128)))
+        self.doubtful: set[str] = set()
+        self.signs = str.maketrans(byte_signs())
+
+    def _same_class(self, sign: str) -> bool:
+        """Whether the library joins the sign to what this side's character classes say."""
+        joins = lambda other: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(other + sign)) == 1
+        here = [bool(regex.match(p, sign)) for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
+        return [joins("a"), joins("1"), joins("!")] == here
+
+    def whole(self, units: list[str]) -> dict[int, list[int]]:
+        for sign in set("".join(units)) - self.agreed - self.doubtful:
+            (self.agreed if self._same_class(sign) else self.doubtful).add(sign)
+        if not self.doubtful:
+            return {}
+        odd = [k for k, u in enumerate(units) if not self.doubtful.isdisjoint(u)]
+        return {k: self.tokenizer.encode(units[k], add_special_tokens=False).ids for k in odd}
+
+    def of_pieces(self, data: bytes, n_bytes: list[int]) -> tuple[list[int], list[int]]:
+        signs = data.decode("latin-1").translate(self.signs)
+        ids: list[int] = []
+        sizes, start, tokenize = [], 0, self.model.tokenize
+        for n in n_bytes:
+            found = [t.id for t in tokenize(signs[start : start + n])]
+            ids += found
+            sizes.append(len(found))
+            start += n
+        return ids, sizes
+
+    def encode(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind it, and where each one's end."""
-        if len(self.known) > UNITS_KEPT:
-            self.clear()
-        units: list = []
-        counts = []
-        for x in texts:
-            first, *rest = self.split(x or "")
-            if first:
-                units.append((first,))
-            units += rest
-            counts.append(len(rest) + bool(first))
-        known = self.known
-        missing = {u: None for u in units if u not in known}
-        if missing:
-            self._learn(list(missing))
-        codes = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        codes, first = self.code(column)
         # The end id follows each text's last unit as a unit of its own.
-        last = np.cumsum(counts)
+        last = first[1:]
         starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         starts = np.insert(starts, last, len(self.ids))
         sizes = np.insert(sizes, last, 1)
-        places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        ids = np.append(self.ids, np.uint32(end_id))[places]
+        ids = spans(np.append(self.ids, np.uint32(end_id)), starts, sizes)
         return ids, np.cumsum(sizes)[last + np.arange(len(last))]
 
 
 def write(
     docs: DataFrame,
     tokenizer_path: str,
+    pattern: str,
     folder: str,
     end_id: int = 2,
     id_column: str = "doc_id",
@@ -288,7 +275,7 @@ def write(
     """Write the ids of whole texts, ``end_id`` behind each, in ascending order of document ids.
 
     ``tokenizer_path`` is a byte-level BPE definition of the tokenizers library that adds no
-    space in front. Ids of documents are 64-bit integers. The folder must not exist.
+    space in front, ``pattern`` that of its pre-tokens. Ids of documents are 64-bit integers. The folder must not exist.
     """
     with open(tokenizer_path, encoding="utf-8") as source:
         definition = source.read()
@@ -305,7 +292,7 @@ def write(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared(sent))
+        encoder = Encoder(shared(sent), pattern)
         part, number, before, waiting = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -317,7 +304,7 @@ def write(
 
         for batch in batches:
             for rows in text.pieces(batch, "text", 4 * text.CHUNK):
-                some, places = encoder.encode(rows.column("text").to_pylist(), end_id)
+                some, places = encoder.encode(rows.column("text"), end_id)
                 doc_ids += rows.column("id").to_pylist()
                 ids.append(some)
                 ends.append(waiting + places)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from checks.compare import _canonical, duck
-from fleetwarden.llm import periods, queries, repair, token_files
+from fleetwarden.llm import periods, queries, repair, text, token_files, units
 from tests.llm.conftest import SMALL
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,7 +156,7 @@ def test_token_files(spark, small, make, edges, tmp_path, monkeypatch, shard, ke
     documents = [(r.doc_id, r.text) for r in small("documents").collect()]
     for name, rows in (("edges", edges), ("odd", odd), ("documents", documents)):
         folder = str(tmp_path / name)
-        token_files.write(make(rows), TOKENIZER, folder)
+        token_files.write(make(rows), TOKENIZER, public_tokenizers.PATTERN, folder)
         found = token_files.index(spark, folder)
         assert sorted((tuple(r) for r in found.collect()), key=str) == plain_index(rows)
         assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
@@ -164,8 +164,46 @@ def test_token_files(spark, small, make, edges, tmp_path, monkeypatch, shard, ke
         assert sorted(sums, key=str) == sorted(((r[0], r[3]) for r in plain_index(rows)), key=str)
 
 
+def test_units_apart_by_their_second_hash(monkeypatch):
+    """With a first hash of three bits nearly all units collide."""
+    import pyarrow as pa
+
+    plain = text.span_hashes
+    calls = []
+
+    def weak(sums, starts, ends):
+        calls.append(1)
+        return plain(sums, starts, ends) & np.uint64(7) if len(calls) % 2 else plain(sums, starts, ends)
+
+    monkeypatch.setattr(text, "span_hashes", weak)
+    known, seen = units.Units(1000), {}
+    for texts in (["ab cd  ef", None, "", " ab\u2003x y", "cd ab "], ["ab cd", "gh", " ab"]):
+        codes, first, new, _ = known.code(pa.array(texts))
+        for k, word in zip(range(known.n - len(new), known.n), new):
+            assert word not in seen.values()
+            seen[k] = word
+        for t, a, b in zip(texts, first[:-1], first[1:]):
+            assert b"".join(seen[c] for c in codes[a:b]) == (t or "").encode()
+    assert len(seen) == known.n > 7 and known.collided
+
+
+def test_characters_that_the_library_sees_differently(monkeypatch):
+    with open(TOKENIZER, encoding="utf-8") as source:
+        definition = source.read()
+    encoder = token_files.Encoder(definition, public_tokenizers.PATTERN.replace(r"\p{L}", r"[a-zA-Zß]"))
+    monkeypatch.setattr(encoder, "_same_class", lambda sign: sign == "ß")
+    import pyarrow as pa
+
+    texts = ["naïve Straße 漢字 1", "plain words", "é"]
+    ids, ends = encoder.encode(pa.array(texts), 2)
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == want and encoder.doubtful
+
+
 def test_token_files_of_no_documents(spark, make, tmp_path):
-    token_files.write(make([(1, "x")]).where("doc_id > 1"), TOKENIZER, str(tmp_path / "none"))
+    none = make([(1, "x")]).where("doc_id > 1")
+    token_files.write(none, TOKENIZER, public_tokenizers.PATTERN, str(tmp_path / "none"))
     assert token_files.index(spark, str(tmp_path / "none")).collect() == []
 
 
