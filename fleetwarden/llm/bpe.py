@@ -6,7 +6,8 @@ linked list, and a heap of (rank, place) gives the pair to join next, so that a
 of n bytes costs O(n log n) however long it is.
 
 The vocabulary is a fixed public file, read on the driver and broadcast (its size does not
-depend on the data). Texts are encoded in Arrow batches, without a shuffle.
+depend on the data). Texts are encoded in Arrow batches, without a shuffle. A task looks up
+each different pre-token once, in numpy batches, and puts texts together from numbers of units.
 
 Defined results: a null text counts as empty and has no tokens; each row is worked on by
 itself, so repeated rows repeat; input columns named like the output's are replaced.
@@ -16,27 +17,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 
 from fleetwarden.llm import text
 from fleetwarden.llm.frames import ddl, share, shared, without
+from fleetwarden.llm.units import UnitEncoder, spans
 
 #: Keys for each displacement of the perfect hash.
 LOAD = 4
-#: Encodings of units and of pre-tokens that a task remembers: so many of the latest, twice.
-UNITS_KEPT, PIECES_KEPT = 100_000, 250_000
-#: Where a text is cut into units before the pattern is applied to each unit that is new. The
-#: pattern must begin a match at these places whatever stands before them.
-UNITS = r" (?=\S)"
-MASK = 2**64 - 1
+#: Different units of text (``units``) whose ids a task remembers.
+UNITS_KEPT = 600_000
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -82,13 +78,22 @@ class PerfectHash:
     def _slots(self, hashes: np.ndarray, shift: np.ndarray) -> np.ndarray:
         return (text.mix(hashes ^ (shift * np.uint64(STEP))) % np.uint64(self.n)).astype(np.int64)
 
-    def slot(self, key: bytes) -> int:
-        """The slot where the key is, if it is one of the keys."""
-        h = xxhash.xxh3_64_intdigest(key)
-        x = h ^ (self.shift[h % self.groups] * STEP & MASK)
-        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
-        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
-        return (x ^ (x >> 31)) % self.n
+    def slots(self, keys: list[bytes]) -> list[int]:
+        """The slot where each key is, if it is one of the hash's keys."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+        shift = np.array(self.shift, np.uint64)[(hashes % np.uint64(self.groups)).astype(np.int64)]
+        return self._slots(hashes, shift).tolist()
+
+
+def _end_to_end(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([0, *map(len, parts)])
+    return np.frombuffer(b"".join(parts), np.uint8), ends
+
+
+def _of_ids(data: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, list[int]]:
+    sizes = at[ids + 1] - at[ids]
+    places = np.concatenate([[0], np.cumsum(sizes)])[starts]
+    return spans(data, at[ids], sizes).tobytes(), places.tolist()
 
 
 class Vocabulary:
@@ -102,15 +107,25 @@ class Vocabulary:
         self.ids = [0] * len(tokens)
         for token, slot in zip(tokens, self.hash.slot_of.tolist()):
             self.keys[slot], self.ids[slot] = token, ranks[token]
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        # The bytes of all tokens by rank, and the ranks as text with a comma, end to end.
+        by_rank = [b""] * (1 + max(ranks.values(), default=-1))
+        for token, rank in ranks.items():
+            by_rank[rank] = token
+        self.bytes, self.bytes_at = _end_to_end(by_rank)
+        self.names, self.names_at = _end_to_end([b"%d," % i for i in range(len(by_rank))])
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        slot = self.hash.slot(piece)
+        (slot,) = self.hash.slots([piece])
         return [self.ids[slot]] if self.keys[slot] == piece else self.merge(piece)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of ids, and where those of the ids from each start on begin."""
+        return _of_ids(self.bytes, self.bytes_at, ids, starts)
+
+    def spell(self, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, list[int]]:
+        """The same for ids as text, each with a comma behind it."""
+        return _of_ids(self.names, self.names_at, ids, starts)
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the pair of lowest rank, the leftmost of equals, until no pair is a token.
@@ -156,46 +171,29 @@ class Vocabulary:
         return ids
 
 
-class Recent(dict):
-    """A bounded memory of a function: two generations, the older one dropped when one is full."""
-
-    def __init__(self, function, limit: int):
-        super().__init__()
-        self.function, self.limit, self.older = function, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.function(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class Encoder:
-    """Encodes whole texts: (ids, ids as text, their decoded bytes) of each unit, in order."""
+class Encoder(UnitEncoder):
+    """Encodes whole texts: new pre-tokens are looked up together, and those that are no token
+    are merged."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        super().__init__(pattern, UNITS_KEPT)
         self.vocabulary = vocabulary
-        self.pre_tokens = regex.compile(pattern).findall
-        self.units = re.compile(UNITS).split
-        self.known_pieces = Recent(lambda piece: tuple(vocabulary.encode(piece.encode())), PIECES_KEPT)
-        self.known_units = Recent(self.encode_unit, UNITS_KEPT)
 
-    def encode_unit(self, unit: str) -> tuple[tuple[int, ...], str, bytes]:
+    def of_pieces(self, data: bytes, n_bytes: list[int]) -> tuple[list[int], list[int]]:
+        ends = np.cumsum(n_bytes).tolist()
+        pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
+        keys, known, merge = self.vocabulary.keys, self.vocabulary.ids, self.vocabulary.merge
         ids: list[int] = []
-        for piece in self.pre_tokens(unit):
-            ids += self.known_pieces[piece]
-        return tuple(ids), ",".join(map(str, ids)), self.vocabulary.decode(ids)
-
-    def parts(self, document: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        if not document:
-            return []
-        first, *rest = self.units(document)
-        known = self.known_units
-        return ([known[first]] if first else []) + [known[" " + unit] for unit in rest]
+        sizes = []
+        for piece, slot in zip(pieces, self.vocabulary.hash.slots(pieces)):
+            if keys[slot] == piece:
+                ids.append(known[slot])
+                sizes.append(1)
+            else:
+                found = merge(piece)
+                ids += found
+                sizes.append(len(found))
+        return ids, sizes
 
 
 def _share(df: DataFrame, ranks_path: str):
@@ -210,12 +208,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text")
         encoder = Encoder(shared(sent), pattern)
         for batch in batches:
             for rows in text.pieces(batch, column):
-                ids = [
-                    [i for part in encoder.parts(x or "") for i in part[0]]
-                    for x in rows.column(column).to_pylist()
-                ]
-                rows = rows.append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
-                yield from rows.to_batches()
+                ids, starts = encoder.text_ids(rows.column(column))
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield from rows.append_column("token_ids", lists).to_batches()
 
     return docs.mapInArrow(run, ddl(docs, "token_ids array<int>"))
 
@@ -227,7 +222,10 @@ def decode(tokens: DataFrame, ranks_path: str, column: str = "token_ids") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared(sent)
         for batch in batches:
-            decoded = [vocabulary.decode(x or []) for x in batch.column(column).to_pylist()]
+            lists = [np.array(x or [], np.int64) for x in batch.column(column).to_pylist()]
+            starts = np.cumsum([0, *map(len, lists)])
+            data, at = vocabulary.decode(np.concatenate([np.empty(0, np.int64), *lists]), starts)
+            decoded = [data[a:b] for a, b in zip(at[:-1], at[1:])]
             rows = pa.Table.from_batches([batch])
             yield from rows.append_column("decoded", pa.array(decoded, pa.binary())).to_batches()
 
@@ -247,18 +245,19 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared(sent), pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for rows in text.pieces(batch, column):
-                counts, ids, decoded = [], [], []
-                for x in rows.column(column).to_pylist():
-                    parts = encoder.parts(x or "")
-                    counts.append(sum([len(p[0]) for p in parts]))
-                    joined = ",".join([p[1] for p in parts])
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+                ids, starts = encoder.text_ids(rows.column(column))
+                spelt, at = encoder.vocabulary.spell(ids, starts)
+                data, begin = encoder.vocabulary.decode(ids, starts)
+                # The last id's comma is left out.
+                names = [sha(spelt[a : max(a, b - 1)]) for a, b in zip(at[:-1], at[1:])]
+                decoded = [sha(data[a:b]) for a, b in zip(begin[:-1], begin[1:])]
+                counts = np.diff(starts)
                 rows = rows.drop_columns([column])
                 for name, values, kind in zip(
-                    added, (counts, ids, decoded), (pa.int64(), pa.string(), pa.string())
+                    added, (counts, names, decoded), (pa.int64(), pa.string(), pa.string())
                 ):
                     rows = rows.append_column(name, pa.array(values, kind))
                 yield from rows.to_batches()
