@@ -109,9 +109,9 @@ class Block:
 
 
 def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of many spans, one after another."""
-    ends = np.cumsum(sizes)
-    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    """The bytes of many spans, one after another, without an index of every byte."""
+    spans = [data[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
+    return np.concatenate([np.empty(0, np.uint8), *spans])
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def shared_windows(data, starts, sizes, spots, age, length: int) -> tuple[np.nda
     for place in range(length - K + 1):
         step = spots - place
         own = np.flatnonzero((step >= 0) & (step < windows))
-        rows = data[(starts[own] + step[own])[:, None] + np.arange(length)]
+        rows = np.lib.stride_tricks.sliding_window_view(data, length)[starts[own] + step[own]]
         _, rank = np.unique(rows.view(f"S{length}").ravel(), return_inverse=True)
         own = own[previous_factors(rank, age[own])]
         runs_.append(own), steps.append(step[own])
