@@ -1,5 +1,7 @@
 """Presentation operators over reports, with the SQL each must agree with."""
 
+from pyspark.sql import DataFrame
+
 from checks.report_checks import FLEET
 from checks.sample import CALENDAR_MONTH, READING_INSTANT, SCHEDULE_DAY
 from fleetwarden.operators import failures, fleet, maintenance, sensors
@@ -27,15 +29,60 @@ def _shares(select: str) -> str:
     CAST((SELECT SUM(value) FROM groups) AS DOUBLE) AS share FROM groups"""
 
 
+def _second_page(report: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The page after the first one, by the key of the first one's last row."""
+    shown = screen.page_after(report, order, None, size).orderBy(*order).collect()
+    return screen.page_after(report, order, shown[-1].asDict() if shown else None, size)
+
+
+def _positions(select: str, order: str) -> str:
+    return f"""SELECT row_number() OVER (ORDER BY {order}) AS position, * FROM ({select})"""
+
+
 SCREENS = {
+    "maintenance_schedule_in_order": (
+        lambda t: screen.with_position(
+            maintenance.maintenance_schedule_upcoming_enriched(t, SCHEDULE_DAY),
+            "maintenance_schedule_upcoming_enriched",
+        ),
+        _positions(
+            f"""SELECT ms.Machine_ID, m.Machine_Type, ms.Scheduled_Date, ms.Maintenance_Type,
+            ms.Estimated_Cost, ms.Estimated_Duration FROM maintenance_schedule ms
+            JOIN machines m ON ms.Machine_ID = m.Machine_ID WHERE ms.Scheduled_Date >= {_DAY}""",
+            _nulls_first(
+                "Scheduled_Date Machine_ID Machine_Type Maintenance_Type Estimated_Cost Estimated_Duration".split()
+            ),
+        ),
+    ),
+    "failure_records_in_order": (
+        lambda t: screen.with_position(
+            failures.failure_records_enriched(t), "failure_records_enriched"
+        ),
+        _positions(
+            """SELECT fr.Machine_ID, m.Machine_Type, fr.Failure_Type, fr.Downtime,
+            fr.Predicted_Failure_Probability, fr.Predicted_Failure_Time FROM failure_records fr
+            JOIN machines m ON fr.Machine_ID = m.Machine_ID""",
+            "Predicted_Failure_Time DESC NULLS LAST, "
+            + _nulls_first("Machine_ID Machine_Type Failure_Type Downtime Predicted_Failure_Probability".split()),
+        ),
+    ),
+    "sensor_feature_means_in_order": (
+        lambda t: screen.with_position(sensors.sensor_feature_means(t), "sensor_feature_means"),
+        _positions(
+            " UNION ALL ".join(
+                f"SELECT '{s}' AS feature, AVG({s}) AS importance FROM sensor_data" for s in sensors.COMPARED_SENSORS
+            ),
+            "importance DESC NULLS LAST, feature NULLS FIRST",
+        ),
+    ),
     "machine_status_page": (
-        lambda t: screen.page(
-            screen.only(fleet.machine_status(t), "Current_Status", "Critical"), _STATUS_ORDER, 2, 10
+        lambda t: _second_page(
+            screen.only(fleet.machine_status(t), "Current_Status", "Critical"), _STATUS_ORDER, 10
         ),
         FLEET
         + f""", critical AS (SELECT Machine_ID, Machine_Type AS Type, 'Critical' AS Current_Status,
           Last_Maintenance_Date AS Last_Maintenance,
-          ROUND(100 * Predicted_Failure_Probability, 2) AS Predicted_Failure_Probability,
+          ROUND(Predicted_Failure_Probability * 100, 2) AS Predicted_Failure_Probability,
           Last_Maintenance_Date + 30 AS Next_Recommended_Maintenance FROM fleet WHERE state = 2)
         SELECT *, (SELECT COUNT(*) > 20 FROM critical) AS has_next FROM critical
         ORDER BY {_nulls_first(_STATUS_ORDER)} LIMIT 10 OFFSET 10""",

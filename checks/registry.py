@@ -18,11 +18,11 @@ def _over_tables(operator) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: _over_tables(operator) for name, (operator, _) in (REPORTS | SCREENS).items()}
-    found |= {name: query for name, (query, _) in (INGEST | MODEL | STREAMS).items()}
-    return found | TRAINED
+    found |= {name: query for name, (query, _) in (INGEST | MODEL | TRAINED | STREAMS).items()}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     prefix = oracle_prefix()
-    texts = REPORTS | SCREENS | INGEST | MODEL | STREAMS
+    texts = REPORTS | SCREENS | INGEST | MODEL | TRAINED | STREAMS
     return {name: prefix + text for name, (_, text) in texts.items()}

@@ -160,4 +160,4 @@ def oracle_prefix() -> str:
         f"{name} AS ({text.strip().format(**{r: r for r in reads})})"
         for name, (reads, text) in texts.items()
     ]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"

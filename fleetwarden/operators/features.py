@@ -44,7 +44,7 @@ class FeatureSpec:
         NULL counts as 0, negative readings as 0, and a category outside the saved
         levels as none of them.
         """
-        numeric = [_cleaned(F.col(name)).alias(name) for name in self.numeric]
+        numeric = [cleaned(F.col(name)).alias(name) for name in self.numeric]
         encoded = [
             F.coalesce((F.col(name) == level).cast("double"), F.lit(0.0)).alias(f"{name}_{level}")
             for name, levels in self.levels.items()
@@ -58,7 +58,7 @@ class FeatureSpec:
         The vector is sparse, so a column of very many levels costs a row one entry.
         """
         encoded = [name for name, levels in self.levels.items() if levels]
-        numeric = {f"_number_{i}": _cleaned(F.col(name)) for i, name in enumerate(self.numeric)}
+        numeric = {f"_number_{i}": cleaned(F.col(name)) for i, name in enumerate(self.numeric)}
         level = {f"_level_{i}": F.col(name) for i, name in enumerate(encoded)}
         index, vector = ([f"{c}_{kind}" for c in level] for kind in ("index", "vector"))
         rows = rows.select(*keep, *[c.alias(name) for name, c in (numeric | level).items()])
@@ -77,11 +77,14 @@ class FeatureSpec:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write one row per feature column, in order."""
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """position, source and level (null for a number) of every feature column."""
         rows = [(i, name, None) for i, name in enumerate(self.numeric)]
         for name, levels in self.levels.items():
             rows += [(len(rows) + i, name, level) for i, level in enumerate(levels)]
-        schema = "position int, source string, level string"
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+        return spark.createDataFrame(rows, "position int, source string, level string")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FeatureSpec":
@@ -94,7 +97,7 @@ class FeatureSpec:
         return cls(numeric, {name: tuple(found) for name, found in levels.items()})
 
 
-def _cleaned(column: Column) -> Column:
+def cleaned(column: Column) -> Column:
     """A number with gaps as 0, then negatives as 0."""
     return F.greatest(F.coalesce(column.cast("double"), F.lit(0.0)), F.lit(0.0))
 

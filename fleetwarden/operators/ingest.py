@@ -10,9 +10,14 @@ from pyspark.sql import types as T
 from fleetwarden import schemas
 from fleetwarden.functions import risk
 from fleetwarden.plans.joins import MACHINE
+from fleetwarden.plans.rollups import hourly_sums
 from fleetwarden.sources import warehouse
+from fleetwarden.sources.bucketed import BucketedTable
+from fleetwarden.sources.loads import Load, LoadLog
 from fleetwarden.sources.telemetry_csv import CORRUPT, SOURCE_ORDER, read_telemetry_csv
 
+LOAD_ORDER = schemas.LOAD_ORDER
+
 # Machine columns an incoming row replaces, NULLs included; Industry is not one.
 REPLACED = [name for name in schemas.MACHINES.names if name not in (MACHINE, "Industry")]
 
@@ -47,6 +52,27 @@ def upsert_machines(existing: DataFrame, incoming: DataFrame, order: list[str])
     return both.select(MACHINE, *merged, F.col("old.Industry").alias("Industry"))
 
 
+def merge_load(existing: DataFrame, incoming: DataFrame, order: list[str], load: int) -> DataFrame:
+    """``upsert_machines`` for the load of number ``load``, which may be run late or again.
+
+    ``existing`` has ``Load_Order``, the number of the load that a row came from; the result has
+    it too. Rows of later loads stay as they are.
+    """
+    latest = latest_rows(incoming.select(MACHINE, *REPLACED, *order), order)
+    both = existing.alias("old").join(
+        latest.select(MACHINE, *REPLACED, F.lit(load).cast("bigint").alias(LOAD_ORDER)).alias("new"),
+        MACHINE,
+        "full_outer",
+    )
+    # Neither number is null on its own side of the join.
+    taken = F.coalesce(F.col(f"new.{LOAD_ORDER}") >= F.coalesce(f"old.{LOAD_ORDER}", F.lit(0)), F.lit(False))
+    merged = [
+        F.when(taken, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
+        for name in (*REPLACED, LOAD_ORDER)
+    ]
+    return both.select(MACHINE, *merged, F.col("old.Industry").alias("Industry"))
+
+
 def assign_industry(machines: DataFrame) -> DataFrame:
     """Machines with the industry their id stands for."""
     return machines.withColumn("Industry", risk.industry(F.col(MACHINE)))
@@ -68,6 +94,38 @@ def apply_schedule_overrides(
     )
 
 
+def keep_overrides(spark: SparkSession, root: str, overrides: DataFrame) -> int:
+    """Keep schedule dates (``Machine_ID, Scheduled_Date``) that replace those of a warehouse.
+
+    They hold for the jobs of the loads begun so far, those run again included, and not for
+    what later loads bring. Of several dates of a machine the latest counts, and a machine's
+    dates replace those kept before. Returns the number of rows written.
+    """
+    known = overrides.where(F.col(MACHINE).isNotNull())
+    dates = known.groupBy(MACHINE).agg(F.max("Scheduled_Date").alias("Scheduled_Date"))
+    latest = F.lit(LoadLog(spark, root).newest()).cast("bigint").alias(LOAD_ORDER)
+    new = dates.where(F.col("Scheduled_Date").isNotNull()).select(MACHINE, "Scheduled_Date", latest)
+    return override_table(spark, root).merge(
+        new.select(MACHINE), lambda old: old.join(new, MACHINE, "left_anti").unionByName(new)
+    )
+
+
+def corrected_schedule(spark: SparkSession, root: str, schedule: DataFrame) -> DataFrame:
+    """A warehouse's schedule, with its ``load_id``, under the overrides that hold for it."""
+    kept = override_table(spark, root)
+    if not kept.log.entries():
+        return schedule
+    dates = kept.read().select(
+        MACHINE, F.col("Scheduled_Date").alias("_date"), F.col(LOAD_ORDER).alias("_up_to")
+    )
+    orders = LoadLog(spark, root).loads().select(warehouse.LOAD, F.col("load_order").alias("_order"))
+    joined = schedule.join(orders, warehouse.LOAD, "left").join(dates, MACHINE, "left")
+    # A load that the log doesn't know was there before it.
+    holds = F.coalesce("_order", F.lit(0)) <= F.col("_up_to")
+    date = F.when(holds, F.col("_date")).otherwise(F.col("Scheduled_Date"))
+    return joined.withColumn("Scheduled_Date", date).select(*schedule.columns)
+
+
 # Each of the following takes further columns to carry along, such as a key.
 
 
@@ -140,6 +198,14 @@ _STAGED = T.StructType(
 _REPORT = "step int, table string, status string, rows bigint, error string"
 
 
+def machine_table(spark: SparkSession, root: str) -> BucketedTable:
+    return BucketedTable(spark, f"{root}/machines", schemas.STORED_MACHINES, MACHINE)
+
+
+def override_table(spark: SparkSession, root: str) -> BucketedTable:
+    return BucketedTable(spark, f"{root}/schedule_overrides", schemas.STORED_OVERRIDES, MACHINE)
+
+
 def _default_load_id(path: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]", "_", posixpath.basename(path.rstrip("/")))
 
@@ -149,25 +215,23 @@ def staged_telemetry(spark: SparkSession, root: str) -> DataFrame:
     return warehouse.read_loads(spark, root, "telemetry", _STAGED)
 
 
-def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> DataFrame:
-    """Parse the CSV once into Parquet and return the staged rows.
+def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> tuple[DataFrame, Load]:
+    """Parse the CSV once into Parquet and return the staged rows, and the load in the log.
 
-    The seven loads then read only the columns they need.  Rows are rebalanced by
+    The loads then read only the columns they need.  Rows are rebalanced by
     day, with large days split, so daily partitions get few and even files.
-    Reading ids continue after those of the other loads.
+    Reading ids lie in a range that the log of loads gives to this run alone.
     """
-    others = staged_telemetry(spark, root).where(F.col(warehouse.LOAD) != load_id)
-    start = (others.agg(F.max("Reading_ID")).first()[0] or 0) + 1
-    feed = (
-        read_telemetry_csv(spark, csv_path)
-        .withColumn("Reading_ID", F.col("Reading_ID") + start)
-        .withColumn(warehouse.EVENT_DATE, F.to_date("Timestamp"))
+    feed = read_telemetry_csv(spark, csv_path)
+    load = LoadLog(spark, root).begin(load_id, feed.rdd.getNumPartitions())
+    numbered = feed.withColumn("Reading_ID", F.col("Reading_ID") + load.first_id).withColumn(
+        warehouse.EVENT_DATE, F.to_date("Timestamp")
     )
     path = warehouse.load_path(root, "telemetry", load_id)
     warehouse.write_counted(
-        feed.hint("rebalance", warehouse.EVENT_DATE), path, warehouse.EVENT_DATE
+        numbered.hint("rebalance", warehouse.EVENT_DATE), path, warehouse.EVENT_DATE
     )
-    return spark.read.schema(_STAGED).parquet(path)
+    return spark.read.schema(_STAGED).parquet(path), load
 
 
 def run_etl(
@@ -181,10 +245,11 @@ def run_etl(
 
     The tables are loaded in a fixed order and one that fails does not stop the
     next.  Returns a row per step: table, ``loaded`` or ``failed``, rows, error.
-    Running the same ``load_id`` (by default the file name) again replaces its rows.
+    Running the same ``load_id`` (by default the file name) again replaces its rows and keeps
+    its place among the loads: machines that a later load brought stay as that load left them.
     """
     load_id = load_id or _default_load_id(csv_path)
-    staged = _stage(spark, csv_path, root, load_id)
+    staged, load = _stage(spark, csv_path, root, load_id)
     bad, good = staged.where(F.col(CORRUPT).isNotNull()), staged.where(F.col(CORRUPT).isNull())
     day = F.col(warehouse.EVENT_DATE)
 
@@ -192,11 +257,11 @@ def run_etl(
         return F.col("Reading_ID").alias(name)
 
     def write_machines() -> int:
-        existing = warehouse.read_current(spark, root, "machines", schemas.MACHINES)
-        merged = upsert_machines(existing, good, list(SOURCE_ORDER))
-        industry = F.coalesce("Industry", risk.industry(F.col(MACHINE)))
-        merged = merged.withColumn("Industry", industry)
-        return warehouse.write_next_version(spark, merged, root, "machines", schemas.MACHINES)
+        def merged(existing: DataFrame) -> DataFrame:
+            rows = merge_load(existing, good, list(SOURCE_ORDER), load.order)
+            return rows.withColumn("Industry", F.coalesce("Industry", risk.industry(F.col(MACHINE))))
+
+        return machine_table(spark, root).merge(good.select(MACHINE), merged)
 
     loads = {
         "sensor_data": lambda: to_sensor_data(good, key("Sensor_ID"), day),
@@ -207,6 +272,7 @@ def run_etl(
         "anomaly_detection": lambda: to_anomaly_detection(good, key("Anomaly_ID"), day),
         "machine_health_indicators": lambda: to_health_indicators(good, key("Health_ID"), day),
         "failure_trends": lambda: to_failure_trends(good),
+        "sensor_hourly": lambda: hourly_sums(good).withColumn(warehouse.EVENT_DATE, F.col("_day")),
         "quarantine": lambda: bad.select(CORRUPT, "source_file", "Reading_ID"),
     }
 
@@ -222,4 +288,5 @@ def run_etl(
             report.append((step, table, "loaded", rows, None))
         except Exception as error:  # one failed load must not stop the next
             report.append((step, table, "failed", None, str(error)))
+    LoadLog(spark, root).finish(load, all(r[2] == "loaded" for r in report))
     return spark.createDataFrame(report, _REPORT)

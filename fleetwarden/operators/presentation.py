@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetwarden.functions.clock import AsOf, day
 from fleetwarden.functions.risk import gauge_band
 from fleetwarden.plans.joins import MACHINE
+from fleetwarden.plans.workspace import fresh_folder
 
 CARDS = 5
 
@@ -47,6 +48,41 @@ def in_display_order(report: DataFrame, name: str) -> DataFrame:
     return report.orderBy(*[getattr(F, direction)(column) for column, direction in order])
 
 
+def with_position(report: DataFrame, name: str) -> DataFrame:
+    """The rows of report ``name`` with ``position``, from 1, in the order it is shown.
+
+    Rows that the display order leaves equal follow the other columns. Rows are sorted in
+    ranges, written once to the work folder with their place in the range, and moved up by the
+    number of rows in the ranges before, a row for each range; no task sees the whole list.
+    """
+    shown = [(c, d) for c, d in DISPLAY_ORDER.get(name, [])]
+    rest = [(c, "asc") for c in report.columns if c not in dict(shown)]
+    order = [getattr(F, direction)(column) for column, direction in [*shown, *rest]]
+    spark = report.sparkSession
+    folder = fresh_folder(spark, "display-order")
+    ranges = report.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranges.withColumn("_place", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
+    # The id holds the range in its upper bits and counts from 0 in the lower 33.
+    split = placed.withColumn("_range", F.shiftright("_place", 33)).withColumn(
+        "_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    sizes = split.groupBy("_range").agg((F.max("_place") + 1).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    known = F.map_from_entries(F.collect_list(F.struct("_range", "_offset")))
+    listed = offsets.agg(known.alias("known"), F.max("_range").alias("top")).select(
+        F.transform(
+            F.sequence(F.lit(0).cast("bigint"), "top"),
+            lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("bigint")),
+        )
+    )
+    # One value for the whole plan, an entry for each range.
+    offset = F.get(listed.scalar(), F.col("_range").cast("int"))
+    return split.select((offset + F.col("_place") + 1).alias("position"), *report.columns)
+
+
 def only(report: DataFrame, column: str, choice: str = "all") -> DataFrame:
     """Rows with the chosen value; ``all`` keeps every row."""
     return report if choice == "all" else report.where(F.col(column) == choice)
@@ -70,6 +106,37 @@ def page(report: DataFrame, order: list[str | Column], number: int, size: int) -
     )
 
 
+def page_after(report: DataFrame, order: list[str], after: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the row ``after``, with column ``has_next``.
+
+    ``order`` names columns that order rows fully, ascending with nulls first; ``after`` holds
+    their values in the last row shown, None for the first page. The rows before it are left
+    out by a filter, which reaches the scan where the columns are stored ones, and a task keeps
+    ``size + 1`` rows whichever page it is.
+    """
+    rest = report
+    if after is not None:
+        kinds = {f.name: f.dataType for f in report.schema}
+        same, later = F.lit(True), F.lit(False)
+        for name in order:
+            value = F.lit(after[name]).cast(kinds[name])
+            greater = F.col(name).isNotNull() if after[name] is None else F.col(name) > value
+            later = later | (same & greater)
+            same = same & F.col(name).eqNullSafe(value)
+        # The first column alone is a bound that a scan can use.
+        first = order[0]
+        bound = F.lit(True) if after[first] is None else F.col(first) >= F.lit(after[first]).cast(kinds[first])
+        rest = report.where(bound).where(F.coalesce(later, F.lit(False)))
+    fetched = rest.orderBy(*order).limit(size + 1)
+    whole = Window.orderBy(*order)
+    return (
+        fetched.withColumn("_place", F.row_number().over(whole))
+        .withColumn("has_next", F.max("_place").over(Window.partitionBy()) > size)
+        .where(F.col("_place") <= size)
+        .drop("_place")
+    )
+
+
 def schedule_summary(upcoming: DataFrame) -> DataFrame:
     """Number of upcoming jobs: all, preventive, corrective."""
     kind = F.col("Maintenance_Type")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from fleetwarden.functions.clock import AsOf, instant
 from fleetwarden.functions.risk import is_critical, percent
 from fleetwarden.functions.time_buckets import HOUR_KEYS, day_label, hour_keys, hour_label
-from fleetwarden.plans.day_filters import PARTITION, latest_day, newest_days, since
+from fleetwarden.plans.day_filters import latest_day, newest_days, newest_days_with, since
 from fleetwarden.plans.joins import MACHINE, rows_matching, with_dimension
+from fleetwarden.plans.rollups import hourly_sums, latest_hours, mean
 from fleetwarden.tables import Tables
 
 FEED_ROWS = 100
@@ -27,6 +28,11 @@ MEASURED = (
 COMPARED_SENSORS = ("Pressure", "Temperature", "Vibration")
 
 
+def _stored_hours(t: Tables) -> DataFrame | None:
+    """The hourly sums that loads keep, where the tables come from a warehouse."""
+    return t.sensor_hourly
+
+
 def sensor_recent(t: Tables) -> DataFrame:
     """The latest readings."""
     return (
@@ -49,10 +55,7 @@ def sensor_recent(t: Tables) -> DataFrame:
 
 def health_indicators_recent(t: Tables) -> DataFrame:
     """The latest health rows of known machines."""
-    health = t.machine_health_indicators
-    if PARTITION in health.columns:
-        known = with_dimension(health.select(MACHINE, PARTITION), t.machines, [])
-        health = newest_days(health, HEALTH_ROWS, known)
+    health = newest_days_with(t.machine_health_indicators, HEALTH_ROWS, t.machines, MACHINE)
     return (
         with_dimension(health, t.machines, ["Machine_Type"])
         .orderBy(F.desc("Timestamp"), F.desc("Health_ID"))
@@ -67,21 +70,11 @@ def sensor_trends_hourly_failed_machines(t: Tables) -> DataFrame:
     Readings shrink to one row per machine and hour before they meet the ids.
     """
     failed = t.failure_records.where(is_critical()).select(MACHINE).distinct()
-    readings = t.sensor_data.select(MACHINE, *hour_keys("Timestamp"), *TREND_SENSORS)
-    measured = (
-        readings.groupBy(MACHINE, *HOUR_KEYS)
-        .agg(
-            *[F.sum(s).alias(f"_sum_{s}") for s in TREND_SENSORS],
-            *[F.count(s).alias(f"_count_{s}") for s in TREND_SENSORS],
-        )
-        .join(failed, MACHINE, "left_semi")
-    )
-    hourly = measured.groupBy(*HOUR_KEYS).agg(
-        *[
-            F.try_divide(F.sum(f"_sum_{s}"), F.sum(f"_count_{s}")).alias(s)
-            for s in TREND_SENSORS
-        ]
-    )
+    hours = _stored_hours(t)
+    if hours is None:
+        hours = hourly_sums(t.sensor_data, TREND_SENSORS)
+    measured = hours.join(failed, MACHINE, "left_semi")
+    hourly = measured.groupBy(*HOUR_KEYS).agg(*[mean(s).alias(s) for s in TREND_SENSORS])
     return (
         hourly.withColumn("timestamp", hour_label())
         .unpivot("timestamp", list(TREND_SENSORS), "name", "value")
@@ -123,12 +116,14 @@ def temperature_anomaly_impact(t: Tables) -> DataFrame:
 
 def pressure_trend_latest_day(t: Tables) -> DataFrame:
     """Hourly average pressure on the newest date."""
-    return (
-        latest_day(t.sensor_data)
-        .groupBy(*hour_keys("Timestamp"))
-        .agg(F.avg("Pressure").alias("Average_Pressure"))
-        .select(hour_label().alias("Hourly_Timestamp"), "Average_Pressure")
-    )
+    hours = _stored_hours(t)
+    if hours is None:
+        means = latest_day(t.sensor_data).groupBy(*hour_keys("Timestamp")).agg(
+            F.avg("Pressure").alias("Average_Pressure")
+        )
+    else:
+        means = latest_hours(hours).groupBy(*HOUR_KEYS).agg(mean("Pressure").alias("Average_Pressure"))
+    return means.select(hour_label().alias("Hourly_Timestamp"), "Average_Pressure")
 
 
 def failure_probability_by_temperature(t: Tables) -> DataFrame:
@@ -156,11 +151,16 @@ def failure_probability_by_temperature(t: Tables) -> DataFrame:
 
 def vibration_heatmap(t: Tables) -> DataFrame:
     """Average vibration by hour and machine type on the newest date; gaps are 0."""
-    readings = latest_day(t.sensor_data).select(MACHINE, "Vibration", *hour_keys("Timestamp"))
+    hours = _stored_hours(t)
+    if hours is None:
+        readings = latest_day(t.sensor_data).select(MACHINE, "Vibration", *hour_keys("Timestamp"))
+        average = F.avg("Vibration")
+    else:
+        readings, average = latest_hours(hours), mean("Vibration")
     cells = (
         with_dimension(readings, t.machines, ["Machine_Type"])
         .groupBy(*HOUR_KEYS, "Machine_Type")
-        .agg(F.avg("Vibration").alias("_average"), F.lit(True).alias("_present"))
+        .agg(average.alias("_average"), F.lit(True).alias("_present"))
     )
     # Structs keep a NULL machine type in the set of types.
     types = cells.agg(F.collect_set(F.struct("Machine_Type")).alias("types")).scalar()
@@ -191,18 +191,23 @@ def sensor_feature_means(t: Tables) -> DataFrame:
 
 def temperature_daily(t: Tables) -> DataFrame:
     """Mean temperature per day."""
-    return (
-        t.sensor_data.groupBy(F.to_date("Timestamp").alias("_day"))
-        .agg(F.avg("Temperature").alias("ForecastedValue"))
-        .select(day_label("_day").alias("Date"), "ForecastedValue")
-    )
+    hours = _stored_hours(t)
+    if hours is None:
+        days = t.sensor_data.groupBy(F.to_date("Timestamp").alias("_day")).agg(
+            F.avg("Temperature").alias("ForecastedValue")
+        )
+    else:
+        days = hours.groupBy("_day").agg(mean("Temperature").alias("ForecastedValue"))
+    return days.select(day_label("_day").alias("Date"), "ForecastedValue")
 
 
 def anomaly_hourly(t: Tables) -> DataFrame:
     """Mean anomaly score per hour."""
-    return (
-        t.sensor_data.where(F.col("Anomaly_Score").isNotNull())
-        .groupBy(*hour_keys("Timestamp"))
-        .agg(F.avg("Anomaly_Score").alias("anomaly_score"))
-        .select(hour_label().alias("hour"), "anomaly_score")
-    )
+    hours = _stored_hours(t)
+    if hours is None:
+        scored = t.sensor_data.where(F.col("Anomaly_Score").isNotNull())
+        means = scored.groupBy(*hour_keys("Timestamp")).agg(F.avg("Anomaly_Score").alias("anomaly_score"))
+    else:
+        scored = hours.where("count_Anomaly_Score > 0")
+        means = scored.groupBy(*HOUR_KEYS).agg(mean("Anomaly_Score").alias("anomaly_score"))
+    return means.select(hour_label().alias("hour"), "anomaly_score")

@@ -1,13 +1,18 @@
 """Train and keep the failure classifier."""
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwarden.operators.evaluation import classification_report
 from fleetwarden.operators.features import NUMERIC, FeatureSpec, fit_features, training_rows
+from fleetwarden.operators.trees import tree_table
+from fleetwarden.sources.commit_log import CommitLog, Files
 
 # Fixed values.
 TRAIN_PERCENT = 80
@@ -77,19 +82,79 @@ def keep_rows(telemetry: DataFrame, spec: FeatureSpec, root: str, *key: str) ->
     rows.write.mode("overwrite").partitionBy("held_out").parquet(f"{root}/rows")
 
 
-def kept_rows(spark: SparkSession, root: str, held_out: bool) -> DataFrame:
-    rows = spark.read.parquet(f"{root}/rows")
+def _rows(spark: SparkSession, folder: str, held_out: bool) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/rows")
     return rows.where(F.col("held_out") == F.lit(held_out)).drop("held_out")
 
 
-def save_model(spark: SparkSession, root: str, model: PipelineModel, spec: FeatureSpec) -> None:
-    """Keep the model and its feature list below ``root``."""
-    spec.save(spark, f"{root}/features")
-    model.write().overwrite().save(f"{root}/model")
+def kept_rows(
+    spark: SparkSession, root: str, held_out: bool, version: int | None = None
+) -> DataFrame:
+    """The training or held-out rows of a kept model."""
+    return _rows(spark, model_folder(spark, root, version), held_out)
+
+
+REGISTRY = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("training_rows", T.LongType()),
+        T.StructField("held_out_rows", T.LongType()),
+        T.StructField("accuracy", T.DoubleType()),
+    ]
+)
+
+
+def _registry(spark: SparkSession, root: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/_versions", REGISTRY)
+
+
+def model_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The versions of a model kept below ``root``: number, rows trained on and held out, accuracy."""
+    return _registry(spark, root).rows().withColumnRenamed("n", "version").drop("folder")
+
+
+def model_folder(spark: SparkSession, root: str, version: int | None = None) -> str:
+    """Where a version lies, by default the newest. It is whole: its entry is written last."""
+    entries = _registry(spark, root).entries()
+    chosen = [e for e in entries if version is None or e["n"] == version]
+    if not chosen:
+        raise ValueError(f"no model version {version or ''} below {root}")
+    return f"{root}/{chosen[-1]['folder']}"
 
 
-def load_model(spark: SparkSession, root: str) -> tuple[PipelineModel, FeatureSpec]:
-    return PipelineModel.load(f"{root}/model"), FeatureSpec.load(spark, f"{root}/features")
+def save_model(spark: SparkSession, folder: str, model: PipelineModel, spec: FeatureSpec) -> None:
+    """Write the model, its feature list and its trees as a table to a new folder."""
+    spec.save(spark, f"{folder}/features")
+    model.write().overwrite().save(f"{folder}/model")
+    (stage,) = [s for s in Files(spark, folder).names(f"{folder}/model/stages") if not s.startswith((".", "_"))]
+    features = spark.read.parquet(f"{folder}/features")
+    depth = model.stages[-1].getMaxDepth()
+    trees = tree_table(spark, f"{folder}/model/stages/{stage}", features, depth)
+    trees.write.mode("overwrite").parquet(f"{folder}/trees")
+
+
+def load_model(
+    spark: SparkSession, root: str, version: int | None = None
+) -> tuple[PipelineModel, FeatureSpec]:
+    folder = model_folder(spark, root, version)
+    return PipelineModel.load(f"{folder}/model"), FeatureSpec.load(spark, f"{folder}/features")
+
+
+def load_trees(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The trees of a kept model as a table, a row for each node."""
+    return spark.read.parquet(f"{model_folder(spark, root, version)}/trees")
+
+
+def kept_features(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The feature columns of a kept model, in order: position, source, level."""
+    return spark.read.parquet(f"{model_folder(spark, root, version)}/features")
+
+
+def held_out_scored(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The held-out rows of a kept model with its predictions, for evaluation."""
+    model, _ = load_model(spark, root, version)
+    return scored(model, kept_rows(spark, root, True, version))
 
 
 def train_and_keep(
@@ -102,11 +167,28 @@ def train_and_keep(
 ) -> DataFrame:
     """Train on telemetry rows identified by ``key`` and keep everything below ``root``.
 
-    Returns the classification report of the held-out rows.
+    What is kept is a new version: rows, features, model and trees lie in a folder of their own,
+    which the registry names once all of it is written. Returns the classification report of the
+    held-out rows.
     """
     spark = telemetry.sparkSession
+    name = f"model-{uuid.uuid4().hex}"
+    folder = f"{root}/{name}"
     spec = fit_features(telemetry, numeric)
-    keep_rows(telemetry, spec, root, *key)
-    model = train_failure_classifier(kept_rows(spark, root, False), rounds, depth)
-    save_model(spark, root, model, spec)
-    return classification_report(scored(model, kept_rows(spark, root, True)))
+    keep_rows(telemetry, spec, folder, *key)
+    training = _rows(spark, folder, False)
+    model = train_failure_classifier(training, rounds, depth)
+    save_model(spark, folder, model, spec)
+    report = classification_report(scored(model, _rows(spark, folder, True)))
+    lines = report.collect()
+    (overall,) = [r for r in lines if r["class"] == "accuracy"]
+    trained = training.count()
+    _registry(spark, root).append(
+        lambda _: {
+            "folder": name,
+            "training_rows": trained,
+            "held_out_rows": overall["support"],
+            "accuracy": overall["precision"],
+        }
+    )
+    return spark.createDataFrame(lines, report.schema)

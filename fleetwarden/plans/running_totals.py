@@ -1,12 +1,11 @@
 """Exact running totals over a global order without putting all rows in one task.
 
-Rows are cut into ranges at estimated quantiles of the order column.  The cut points
-only steer balance; any cut points give the exact result.  Totals inside a range
-are a window partitioned by range; the totals of the ranges before it come from a
-summary with a row per range, as many as there are shuffle partitions.
+Rows are dealt into ranges of the order by Spark, once.  Totals inside a range are a window
+over it; the totals of the ranges before it come from a summary with a row for each range.
+Both read the one exchange, which Spark reuses, so what lies before it is worked out once and
+nothing runs until the result is asked for.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +13,24 @@ from pyspark.sql import functions as F
 def descending_totals(rows: DataFrame, order: str, values: list[str]) -> DataFrame:
     """For rows unique in ``order`` (a non-null double), walking it from high to low.
 
-    Adds ``total_<v>`` (sum up to and including the row), ``next_<v>`` (value of the
-    following row) and ``all_<v>`` (sum over all rows) for each ``v`` in ``values``.
+    ``rows`` has these columns and no others.  Adds ``total_<v>`` (sum up to and including the
+    row), ``next_<v>`` (value of the following row) and ``all_<v>`` (sum over all rows) for each
+    ``v`` in ``values``.
     """
-    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.approxQuantile(order, probabilities, 1 / (4 * ranges))))
-    finite = [c for c in cuts if abs(c) != float("inf")] or [0.0]
-    splits = [float("-inf"), *finite, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(rows)
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse") != "true":
+        raise ValueError("running totals need spark.sql.exchange.reuse, so that ranges are dealt once")
+    # A number of ranges given here stays as it is; adaptive execution doesn't merge them.
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, F.desc(order)).withColumn("_range", F.spark_partition_id())
 
     summary = ranged.groupBy("_range").agg(
         *[F.sum(v).alias(f"_sum_{v}") for v in values],
         *[F.max_by(v, order).alias(f"_first_{v}") for v in values],
     )
     # One row per range: the windows below see few rows.
-    before = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    following = Window.orderBy(F.desc("_range"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    following = Window.orderBy("_range")
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = summary.select(
         "_range",

@@ -25,6 +25,13 @@ MACHINES = _schema(
     Industry=_text,
 )
 
+SCHEDULE_OVERRIDES = _schema(Machine_ID=_text, Scheduled_Date=_date)
+
+# As stored: with the number of the load that a row came from.
+LOAD_ORDER = "Load_Order"
+STORED_MACHINES = T.StructType([*MACHINES.fields, T.StructField(LOAD_ORDER, _long)])
+STORED_OVERRIDES = T.StructType([*SCHEDULE_OVERRIDES.fields, T.StructField(LOAD_ORDER, _long)])
+
 SENSOR_DATA = _schema(
     Sensor_ID=_long,
     Machine_ID=_text,
@@ -43,6 +50,16 @@ SENSOR_DATA = _schema(
     Sensor_Name=_text,
 )
 
+# Hourly sums of the sensors that reports average by hour or day.
+ROLLED = ("Temperature", "Vibration", "Pressure", "Humidity", "Power_Consumption", "Anomaly_Score")
+SENSOR_HOURLY = _schema(
+    Machine_ID=_text,
+    _day=_date,
+    _hour=_whole,
+    **{f"sum_{s}": _real for s in ROLLED},
+    **{f"count_{s}": _long for s in ROLLED},
+)
+
 FAILURE_RECORDS = _schema(
     Failure_ID=_long,
     Machine_ID=_text,

@@ -2,8 +2,7 @@
 
 A fact table is a set of loads, ``<table>/load_id=<id>/event_date=<day>``.  Loading
 the same id again replaces that load, so a repeated job does not duplicate rows.
-The machine table is rewritten as a whole: each write is a new ``version`` and
-readers take the highest, so a version is never overwritten while it is read.
+The machine table is kept in buckets, see ``bucketed``; the loads are numbered, see ``loads``.
 """
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,7 +11,6 @@ from pyspark.sql import types as T
 
 LOAD = "load_id"
 EVENT_DATE = "event_date"
-VERSION = "version"
 
 
 def load_path(root: str, table: str, load_id: str) -> str:
@@ -47,26 +45,3 @@ def read_loads(
     full = _with_partitions(schema, dated)
     found = read_or_none(spark, f"{root}/{table}", full)
     return spark.createDataFrame([], full) if found is None else found
-
-
-def _versions(spark: SparkSession, root: str, table: str, schema: T.StructType):
-    full = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
-    found = read_or_none(spark, f"{root}/{table}", full)
-    if found is None:
-        return None, 0
-    return found, found.agg(F.max(VERSION)).first()[0] or 0
-
-
-def read_current(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """The newest version of a versioned table; empty when there is none."""
-    found, newest = _versions(spark, root, table, schema)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    return found.where(F.col(VERSION) == newest).drop(VERSION)
-
-
-def write_next_version(
-    spark: SparkSession, frame: DataFrame, root: str, table: str, schema: T.StructType
-) -> int:
-    _, newest = _versions(spark, root, table, schema)
-    return write_counted(frame, f"{root}/{table}/{VERSION}={newest + 1}")

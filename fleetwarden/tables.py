@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from fleetwarden import schemas
+from fleetwarden.operators.ingest import corrected_schedule
 from fleetwarden.sources import warehouse
+from fleetwarden.sources.bucketed import BucketedTable
 
 STORED = {
     "machines": schemas.MACHINES,
@@ -30,6 +32,8 @@ class Tables:
     maintenance_schedule: DataFrame
     machine_health_indicators: DataFrame
     maintenance_effectiveness: DataFrame
+    #: Hourly sums of the readings, where loads keep them; see ``plans.rollups``.
+    sensor_hourly: DataFrame | None = None
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":
@@ -39,12 +43,8 @@ class Tables:
     @classmethod
     def empty(cls, spark: SparkSession, **given: DataFrame) -> "Tables":
         """Empty tables with the fixed schemas, except for those ``given``."""
-        return cls(
-            **{
-                name: given[name] if name in given else spark.createDataFrame([], schema)
-                for name, schema in STORED.items()
-            }
-        )
+        missing = {n: spark.createDataFrame([], s) for n, s in STORED.items() if n not in given}
+        return cls(**(missing | given))
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, root: str) -> "Tables":
@@ -57,7 +57,13 @@ class Tables:
             for name, schema in STORED.items()
             if name not in ("machines", "maintenance_effectiveness")
         }
-        machines = warehouse.read_current(spark, root, "machines", schemas.MACHINES)
+        loads["sensor_hourly"] = warehouse.read_loads(
+            spark, root, "sensor_hourly", schemas.SENSOR_HOURLY, dated=True
+        )
+        schedule = loads["maintenance_schedule"]
+        loads["maintenance_schedule"] = corrected_schedule(spark, root, schedule)
+        stored = BucketedTable(spark, f"{root}/machines", schemas.STORED_MACHINES, "Machine_ID")
+        machines = stored.read().select(*schemas.MACHINES.names)
         name = "maintenance_effectiveness"
         measured = warehouse.read_or_none(spark, f"{root}/{name}", STORED[name])
         if measured is not None:

@@ -1,13 +1,19 @@
 """CSV reading and the load into the fleet tables."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwarden import Tables, schemas
 from fleetwarden.operators import fleet, ingest, maintenance, sensors
 from fleetwarden.sources import telemetry_csv
+from fleetwarden.sources.bucketed import BucketedTable
+from fleetwarden.sources.commit_log import Files
+from fleetwarden.sources.loads import PARTITION_IDS, LoadLog
 from fleetwarden.sources.telemetry_csv import CORRUPT, SOURCE_ORDER, read_telemetry_csv
 
 DEFAULTS = {
@@ -160,6 +166,7 @@ def test_load_is_repeatable_and_keeps_other_loads(spark, tmp_path, rows):
         "anomaly_detection": ("loaded", 3),
         "machine_health_indicators": ("loaded", 3),
         "failure_trends": ("loaded", 2),
+        "sensor_hourly": ("loaded", 3),
         "quarantine": ("loaded", 2),
     }
     assert _report(ingest.run_etl(spark, first, root)) == expected
@@ -198,6 +205,116 @@ def test_load_is_repeatable_and_keeps_other_loads(spark, tmp_path, rows):
     assert rows(maintenance.mtbf_monthly(t)) == [("2024-01", 1.0, 2.0)]
 
 
+def test_rerun_of_an_old_load_keeps_newer_machines(spark, tmp_path, rows):
+    root = str(tmp_path / "warehouse")
+    first = write_csv(tmp_path / "first.csv", [reading(m, "2024-01-01", Age="1") for m in "ab"])
+    second = write_csv(tmp_path / "second.csv", [reading("b", "2024-01-02", Age="2")])
+    for path in (first, second):
+        ingest.run_etl(spark, path, root)
+    write_csv(tmp_path / "first.csv", [reading(m, "2024-01-01", Age="3") for m in "abc"])
+    ingest.run_etl(spark, first, root)
+    t = Tables.from_warehouse(spark, root)
+    assert rows(t.machines, "Machine_ID", "Age") == [("a", 3.0), ("b", 2.0), ("c", 3.0)]
+    assert t.machines.columns == schemas.MACHINES.names
+    assert t.sensor_data.count() == 4
+    assert t.sensor_data.select("Sensor_ID").distinct().count() == 4
+    loads = {r["load_id"]: (r["load_order"], r["runs"], r["status"]) for r in LoadLog(spark, root).loads().collect()}
+    assert loads == {"first.csv": (1, 2, "loaded"), "second.csv": (2, 1, "loaded")}
+
+
+def test_loads_at_once_get_their_own_ids(spark, tmp_path):
+    root = str(tmp_path / "w")
+    with ThreadPoolExecutor(8) as pool:
+        begun = list(pool.map(lambda i: LoadLog(spark, root).begin(f"load {i}", 3), range(8)))
+    ranges = sorted((b.first_id, b.last_id) for b in begun)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert all(last - first + 1 == 3 * PARTITION_IDS for first, last in ranges)
+    assert sorted(b.order for b in begun) == list(range(1, 9))
+    entries = LoadLog(spark, root).log.entries()
+    assert [e["n"] for e in entries] == list(range(1, 9))
+
+
+def test_log_entries_are_never_replaced(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    assert files.write_new(f"{tmp_path}/1.json", b"one")
+    assert not files.write_new(f"{tmp_path}/1.json", b"two")
+    assert (tmp_path / "1.json").read_bytes() == b"one"
+    assert [n for n in os.listdir(tmp_path) if "json-" in n and not n.endswith(".crc")] == []
+
+
+KEYED = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.IntegerType())])
+
+
+def _stamps(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def _put(table, spark, rows):
+    new = spark.createDataFrame(rows, KEYED)
+    return table.merge(new, lambda old: old.join(new, "key", "left_anti").unionByName(new))
+
+
+def test_merge_leaves_other_buckets_alone(spark, tmp_path, rows):
+    table = BucketedTable(spark, str(tmp_path / "t"), KEYED, "key", buckets=16)
+    assert table.read().count() == 0
+    assert _put(table, spark, [(f"k{i}", i) for i in range(200)]) == 200
+    before = _stamps(tmp_path / "t")
+    written = _put(table, spark, [("k7", -7), ("k7 new", 1)])
+    after = _stamps(tmp_path / "t")
+    assert written < 200 / 16 * 2 * 3
+    assert {f: t for f, t in after.items() if f in before} == before
+    assert 1 <= len({f.rsplit("/", 2)[1] for f in set(after) - set(before)}) <= 2
+    found = dict(rows(table.read()))
+    assert found == {**{f"k{i}": i for i in range(200)}, "k7": -7, "k7 new": 1}
+    assert _put(table, spark, []) == 0
+
+
+def test_old_versions_of_a_bucket_go(spark, tmp_path, rows):
+    table = BucketedTable(spark, str(tmp_path / "t"), KEYED, "key", buckets=1)
+    for i in range(4):
+        _put(table, spark, [("a", i)])
+    assert len({f.rsplit("/", 3)[1] for f in _stamps(tmp_path / "t")}) == 2
+    assert rows(BucketedTable(spark, str(tmp_path / "t"), KEYED, "key", buckets=5).read()) == [("a", 3)]
+
+
+def test_a_merge_overtaken_by_another_starts_again(spark, tmp_path, rows):
+    table = BucketedTable(spark, str(tmp_path / "t"), KEYED, "key", buckets=1)
+    _put(table, spark, [("a", 1)])
+    other = BucketedTable(spark, str(tmp_path / "t"), KEYED, "key")
+    calls = []
+    new = spark.createDataFrame([("b", 2)], KEYED)
+
+    def merged(old):
+        calls.append(1)
+        if len(calls) == 1:
+            _put(other, spark, [("c", 3)])
+        return old.unionByName(new)
+
+    table.merge(new, merged)
+    assert len(calls) == 2 and rows(table.read()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_overrides_hold_for_the_loads_before_them(spark, tmp_path, rows):
+    root = str(tmp_path / "warehouse")
+    first = write_csv(tmp_path / "first.csv", [reading(m, "2024-01-01") for m in "ab"])
+    ingest.run_etl(spark, first, root)
+    dates = [("a", date(2025, 1, 1)), ("a", date(2025, 3, 3)), (None, date(2025, 1, 1)), ("b", None)]
+    ingest.keep_overrides(spark, root, spark.createDataFrame(dates, schemas.SCHEDULE_OVERRIDES))
+    second = write_csv(tmp_path / "second.csv", [reading("a", "2024-02-01")])
+    for path in (second, first):  # a later load, and the first one again
+        ingest.run_etl(spark, path, root)
+    schedule = Tables.from_warehouse(spark, root).maintenance_schedule
+    assert rows(schedule, "Machine_ID", "Scheduled_Date") == [
+        ("a", date(2024, 1, 5)),
+        ("a", date(2025, 3, 3)),
+        ("b", date(2024, 1, 5)),
+    ]
+    again = spark.createDataFrame([("a", date(2026, 6, 6))], schemas.SCHEDULE_OVERRIDES)
+    ingest.keep_overrides(spark, root, again)
+    schedule = Tables.from_warehouse(spark, root).maintenance_schedule
+    assert {r["Scheduled_Date"] for r in schedule.where("Machine_ID = 'a'").collect()} == {date(2026, 6, 6)}
+
+
 def test_all_failures_can_be_loaded(spark, tmp_path):
     path = write_csv(tmp_path / "f.csv", [reading("a", "2024-01-01"), reading("b", "2024-01-01", Failure_Status="1")])
     report = ingest.run_etl(spark, path, str(tmp_path / "w"), include_all=True)

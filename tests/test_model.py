@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from checks.sample import wide_telemetry
-from fleetwarden.operators import evaluation, features, scoring, training
+from checks.sample import sample_tables, wide_telemetry
+from fleetwarden.operators import evaluation, features, scoring, training, trees
 from fleetwarden.operators.features import FeatureSpec, fit_features
 
 COMPLETE = {
@@ -170,6 +170,70 @@ def test_saved_model_scores_the_same(spark, trained):
     assert all(0 <= score <= 1 for score in ours.values())
 
 
+def test_trees_as_a_table_score_as_the_model_does(spark, small, trained):
+    model, spec, root = trained
+    telemetry = wide_telemetry(spark, small)
+    table = training.load_trees(spark, root)
+    assert table.where("node = 0").count() == table.select("tree").distinct().count() == 3
+    walked = trees.with_margin(telemetry, table, features.NUMERIC)
+    ours = walked.select("Sensor_ID", trees.failure_probability(F.col("margin")).alias("ours"))
+    theirs = training.scored(model, features.training_rows(telemetry, spec, "Sensor_ID"))
+    both = ours.join(theirs.select("Sensor_ID", "score"), "Sensor_ID").collect()
+    assert len(both) == telemetry.count()
+    assert all(abs(r["ours"] - r["score"]) < 1e-12 for r in both)
+
+
+def test_trees_ask_for_levels_and_gaps(spark):
+    rows = [("a", None, 1.0), ("b", "High", None), (None, "Low", -5.0)]
+    frame = spark.createDataFrame(rows, "Machine_Type string, Workload string, Age double")
+    frame = frame.withColumn("Maintenance_Type", F.lit(None).cast("string"))
+    nodes = [
+        (0, 1.0, 0, "Machine_Type", "b", 0.5, 1, 2, None, 2),
+        (0, 1.0, 1, "Age", None, 0.0, 3, 4, None, 2),
+        (0, 1.0, 2, None, None, None, -1, -1, 8.0, 2),
+        (0, 1.0, 3, None, None, None, -1, -1, 2.0, 2),
+        (0, 1.0, 4, None, None, None, -1, -1, 4.0, 2),
+        (1, 0.5, 0, None, None, None, -1, -1, 1.0, 2),
+    ]
+    kinds = "tree int, weight double, node int, source string, level string, threshold double, left int, right int, leaf double, depth int"
+    table = spark.createDataFrame(nodes, kinds)
+    found = trees.with_margin(frame, table, ("Age",)).select("Machine_Type", "margin").collect()
+    assert {r["Machine_Type"]: r["margin"] for r in found} == {"a": 4.5, "b": 8.5, None: 2.5}
+
+
+def test_a_half_written_version_is_not_seen(spark, small, trained, tmp_path):
+    root = str(tmp_path / "models")
+    telemetry = wide_telemetry(spark, small)
+    training.train_and_keep(telemetry, root, "Sensor_ID", rounds=1, depth=1)
+    first = training.model_folder(spark, root)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(training, "save_model", broken)
+        training.train_and_keep(telemetry, root, "Sensor_ID", rounds=1, depth=1)
+    assert training.model_folder(spark, root) == first
+    assert training.model_versions(spark, root).count() == 1
+    with pytest.raises(ValueError, match="no model version"):
+        training.model_folder(spark, root, 7)
+
+
+def test_held_out_accuracy_without_the_leaking_columns(spark, tmp_path):
+    """Above that of always naming the larger class, without what gives the label away."""
+    telemetry = wide_telemetry(spark, sample_tables(spark, "/root/testdata/sf0.01"))
+    leaking = ("Downtime", "Predicted_Failure_Probability")
+    numeric = tuple(n for n in features.NUMERIC if n not in leaking)
+    root = str(tmp_path / "model")
+    training.train_and_keep(telemetry, root, "Sensor_ID", numeric=numeric, rounds=20, depth=5)
+    asked = {r["source"] for r in training.load_trees(spark, root).select("source").distinct().collect()}
+    assert not asked & set(leaking)
+    scored = training.held_out_scored(spark, root).select("label", "prediction").collect()
+    larger = max(sum(r["label"] == k for r in scored) for k in (0, 1)) / len(scored)
+    right = sum(r["label"] == r["prediction"] for r in scored) / len(scored)
+    assert right > larger
+
+
 def test_batch_scores_every_request(spark, trained):
     model, spec, _ = trained
     requests = [COMPLETE, _without("age"), COMPLETE | {"temperature": 95}]

@@ -5,12 +5,13 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.presentation_checks import SCREENS
 from checks.report_checks import REPORTS
 from fleetwarden import Tables, schemas
-from fleetwarden.operators import failures, fleet, maintenance, sensors
-from fleetwarden.plans.day_filters import newest_days
+from fleetwarden.operators import evaluation, failures, fleet, maintenance, presentation, sensors
+from fleetwarden.plans.day_filters import newest_days, newest_days_with
 
 AS_OF = "2000-01-01"
 
@@ -94,8 +95,8 @@ def test_latest_day_prunes_partitions(stored):
 
 
 def test_latest_rows_come_from_the_newest_days(stored):
-    for operator in (sensors.sensor_recent, sensors.health_indicators_recent):
-        assert re.search(r"PartitionFilters: \[.*event_date#\d+ >= Subquery", plan(operator(stored)))
+    recent = plan(sensors.sensor_recent(stored))
+    assert re.search(r"PartitionFilters: \[.*event_date#\d+ >= Subquery", recent)
     read = newest_days(stored.sensor_data, 40)
     days = [r[0].day for r in read.select("event_date").distinct().collect()]
     newest = stored.sensor_data.groupBy("event_date").count().orderBy("event_date", ascending=False)
@@ -108,6 +109,91 @@ def test_latest_rows_come_from_the_newest_days(stored):
     assert newest_days(stored.sensor_data, 10**9).count() == stored.sensor_data.count()
 
 
+def test_recent_health_opens_the_newest_days_only(stored):
+    """Every read of the health rows is bounded by a plain day near the newest one."""
+    health = stored.machine_health_indicators
+    newest = health.agg({"event_date": "max"}).first()[0]
+    filters = re.findall(r"PartitionFilters: \[(.*?)\]", plan(sensors.health_indicators_recent(stored)))
+    bounds = [re.search(r"event_date#\d+ >= (\d{4}-\d\d-\d\d)", f) for f in filters if "event_date" in f]
+    assert bounds and all(bounds)
+    assert all(str(newest - timedelta(days=8)) < b.group(1) <= str(newest) for b in bounds)
+
+
+def test_health_walk_widens_to_known_machines(spark, stored):
+    health = stored.machine_health_indicators
+    known = health.orderBy("Timestamp").limit(3).select("Machine_ID")
+    found = newest_days_with(health, 2, known, "Machine_ID")
+    newest_rows = health.join(known, "Machine_ID", "left_semi").orderBy(F.desc("Timestamp")).limit(2)
+    kept = found.join(known, "Machine_ID", "left_semi").orderBy(F.desc("Timestamp")).limit(2)
+    assert [r["Timestamp"] for r in kept.collect()] == [r["Timestamp"] for r in newest_rows.collect()]
+    none = known.where("Machine_ID = 'nobody'")
+    assert newest_days_with(health, 2, none, "Machine_ID").count() == health.count()
+
+
+def test_running_totals_deal_once(small):
+    """One grouping and one range exchange in the plan, used twice, and no job before it runs."""
+    spark = small.failure_records.sparkSession
+    rows = small.failure_records.selectExpr("Failure_Status AS label", "Predicted_Failure_Probability AS score")
+    spark.sparkContext.setJobGroup("roc", "roc")
+    try:
+        curve = evaluation.roc_curve(rows)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("roc")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(evaluation.roc_curve(rows))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert text.count("Arguments: rangepartitioning(threshold") == 1
+    assert "ReusedExchange" in text
+    curve.collect()
+
+
+def test_a_page_after_a_key_reads_from_the_key_on(stored):
+    order = ["Scheduled_Date", "Machine_ID", "Maintenance_ID"]
+    jobs = stored.maintenance_schedule.select(*order)
+    every = [r.asDict() for r in jobs.orderBy(*order).limit(35).collect()]
+    shown, after = [], None
+    for _ in range(3):
+        rows = presentation.page_after(jobs, order, after, 10).orderBy(*order).collect()
+        shown += [{c: r[c] for c in order} for r in rows]
+        assert all(r["has_next"] for r in rows)
+        after = shown[-1]
+    assert shown == every[:30]
+    text = plan(presentation.page_after(jobs, order, after, 10))
+    assert f"GreaterThanOrEqual(Scheduled_Date,{after['Scheduled_Date']})" in text
+    assert "TakeOrderedAndProject" in text and "Arguments: 11, [" in text
+
+
+def test_pages_after_nulls(spark):
+    rows = [(None, 1), (None, 2), ("a", None), ("a", 3), ("b", None)]
+    frame = spark.createDataFrame(rows, "x string, y int")
+    shown, after = [], None
+    while True:
+        page = presentation.page_after(frame, ["x", "y"], after, 2).orderBy("x", "y").collect()
+        shown += [(r["x"], r["y"]) for r in page]
+        if not page or not page[-1]["has_next"]:
+            break
+        after = page[-1].asDict()
+    assert shown == rows
+
+
+def test_positions_over_many_ranges(spark, small):
+    report = maintenance.maintenance_schedule_upcoming_enriched(small, AS_OF)
+    name = "maintenance_schedule_upcoming_enriched"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = presentation.with_position(report, name).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    placed.sort(key=lambda r: r["position"])
+    assert [r["position"] for r in placed] == list(range(1, report.count() + 1))
+    dates = [r["Scheduled_Date"] for r in placed]
+    assert dates == sorted(dates)
+
+
 def test_partitioned_and_plain_readings_agree(stored, small, rows):
     for operator in (
         sensors.pressure_trend_latest_day,
