@@ -501,10 +501,12 @@ _WALK_TELEMETRY = {
     "numbers": {c: _cleaned_sql(c) for c in features.NUMERIC},
     "texts": {c: c for c in features.CATEGORICAL},
 }
+# The last bits of a score depend on the order in which trees are added up, so ties are those of
+# nine digits.
 _HELD_OUT_SCORES = (
     _HELD_OUT
     + _walk_sql("held", **_WALK_TELEMETRY)
-    + """, ruled AS (SELECT coalesce(Failure_Status, 0) AS label, margin AS score,
+    + """, ruled AS (SELECT coalesce(Failure_Status, 0) AS label, ROUND(1 / (1 + exp(-2 * margin)), 9) AS score,
       CASE WHEN margin > 0 THEN 1 ELSE 0 END AS prediction FROM held JOIN scores USING (Sensor_ID))"""
 )
 
@@ -553,7 +555,9 @@ TRAINED = {
         _HELD_OUT_SCORES + _REPORT_SQL,
     ),
     "model_roc_curve": (
-        lambda spark, sf_dir: evaluation.roc_curve(_held_out_scored(spark, sf_dir)),
+        lambda spark, sf_dir: evaluation.roc_curve(
+            _held_out_scored(spark, sf_dir).withColumn("score", F.round("score", 9))
+        ),
         _HELD_OUT_SCORES + _ROC_SQL,
     ),
     "model_features": (model_features, _features_sql()),
