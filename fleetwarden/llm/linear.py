@@ -1,62 +1,94 @@
-"""Logistic regression over sets of hashed features, fitted on the driver from bounded samples."""
+"""Logistic regression over sets of hashed features, and through one feature.
+
+Sets stay in the tasks: features are counted by grouping, and each round of the fit sends out
+the weights and gets back one gradient a partition, both as long as the features in use.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetwarden.llm.frames import share, shared
 
-#: Rows whose features are worked on at once.
-PART = 128
+#: Partitions whose gradients are added up on the driver in each round.
+PARTS = 8
+#: Errors are rounded to this part of one, so that their sums are exact in any order.
+UNIT = 2.0**-30
 
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+def slot_counts(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that at least ``least`` rows have, in order, and how many rows of label 0 and
+    of label 1 have each. ``rows`` has label (0 or 1) and slots (distinct int32, as bytes)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("slots")]
+            truth = np.repeat(batch.column("label").to_numpy(), [len(s) for s in slots])
+            both = np.concatenate([np.empty(0, np.int32), *slots]).astype(np.int64) * 2 + truth
+            found, n = np.unique(both, return_counts=True)
+            arrays = [pa.array(found >> 1), pa.array(found & 1), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["slot", "label", "n"])
+
+    counted = rows.mapInArrow(count, "slot bigint, label bigint, n bigint")
+    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    sums = counted.groupBy("slot").agg(of(0).alias("n0"), of(1).alias("n1"))
+    found = sums.where(F.col("n0") + F.col("n1") >= least).toArrow().sort_by("slot")
+    return tuple(found.column(c).to_numpy().astype(np.int64) for c in ("slot", "n0", "n1"))
+
+
 def fit_sets(
-    sets: list[np.ndarray],
-    labels: np.ndarray,
+    rows: DataFrame,
+    used: np.ndarray,
     scale: np.ndarray,
+    share_of_ones: float,
     *,
-    least: int = 10,
     ridge: float = 10.0,
     rounds: int = 40,
 ) -> tuple[np.ndarray, float]:
-    """Weights (already times ``scale``) and intercept for rows given as sets of feature numbers.
+    """Weights (already times ``scale``) of the features ``used``, and the intercept.
 
-    A row's value of a feature is the feature's scale if the row has it. Features of fewer
-    than ``least`` rows get no weight, unless there are too few rows for that. Full-batch
-    gradient steps with adaptive rates; the same rows give the same weights.
+    A row's value of a feature is the feature's scale if the row has it. Full-batch gradient
+    steps with adaptive rates, a job each; the same rows give the same weights, however they
+    are dealt. The rows are read in every round: let them be written ones.
     """
-    least = min(least, max(1, len(sets) // 50))
-    seen = np.zeros(len(scale), np.int32)
-    for s in sets:
-        seen[s] += 1
-    used = np.flatnonzero(seen >= least)
-    place = np.full(len(scale), -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    # a part of the rows at a time, so that only the features themselves are held for all rows
-    parts = []
-    for start in range(0, len(sets), PART):
-        own = [place[s] for s in sets[start : start + PART]]
-        own = [s[s >= 0] for s in own]
-        parts.append((np.concatenate(own), [len(s) for s in own], labels[start : start + PART]))
-    scales = scale[used]
-    w, b = np.zeros(len(used)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
+    rows = rows.coalesce(PARTS)
+    place_sent = share(rows, used.astype(np.int32))
+    w = np.zeros(len(used))
+    b = float(np.log(share_of_ones / (1 - share_of_ones)))
     m, v, rate = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0.02
     for step in range(1, rounds + 1):
-        scaled, sums, total = w * scales, np.zeros(len(used)), 0.0
-        for index, sizes, truth in parts:
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            error = sigmoid(np.bincount(row, scaled[index], len(sizes)) + b) - truth
-            sums += np.bincount(index, error[row], len(used))
-            total += error.sum()
-        grad = np.append(sums * scales + ridge * w, total)
+        sent = share(rows, (w * scale, b))
+
+        def gradient(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known, (weights, intercept) = shared(place_sent), shared(sent)
+            sums, total = np.zeros(len(known)), 0.0
+            for batch in batches:
+                for label, slots in zip(batch.column("label").to_pylist(), batch.column("slots")):
+                    own = np.frombuffer(slots.as_buffer(), np.int32)
+                    at = np.searchsorted(known, own)
+                    at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)]
+                    error = np.round((sigmoid(weights[at].sum() + intercept) - label) / UNIT)
+                    sums[at] += error
+                    total += error
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([total])], ["sums", "total"])
+
+        parts = rows.mapInArrow(gradient, "sums binary, total double").collect()
+        sent.destroy()
+        sums = np.sum([np.frombuffer(p["sums"]) for p in parts], axis=0) * UNIT
+        grad = np.append(sums * scale + ridge * w, sum(p["total"] for p in parts) * UNIT)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights = np.zeros(len(scale))
-    weights[used] = w * scales
-    return weights, float(b)
+    return w * scale, b
 
 
 def fit_platt(x: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwarden.llm import text
-from fleetwarden.llm.frames import ddl, share, shared, without
-from fleetwarden.llm.linear import fit_sets, sigmoid
+from fleetwarden.llm.frames import cut, ddl, share, shared, without
+from fleetwarden.llm.linear import fit_sets, sigmoid, slot_counts
 
 SIZES = (3, 4, 5)
 BITS = 20
 MAX_ROWS = 4000
+LEAST = 10
 
 
 @dataclass
@@ -72,37 +73,34 @@ def fit(
     sizes: tuple[int, ...] = SIZES,
     bits: int = BITS,
     max_rows: int = MAX_ROWS,
+    least: int = LEAST,
 ) -> Model:
-    """Fit on the labelled documents given; leave held-out rows out of ``labels``."""
+    """Fit on the labelled documents given; leave held-out rows out of ``labels``.
+
+    n-grams that fewer than ``least`` rows have get no weight (with fewer than 50 times
+    ``least`` rows: fewer than a fiftieth of them). The sets of n-grams are written once and stay
+    in the tasks; only counts and gradients of the n-grams in use reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text.pieces(batch):
-                sets = [s.tobytes() for s in gram_sets(rows.column("text"), sizes, bits)]
-                columns = [rows.column("doc_id").combine_chunks(), rows.column("label").combine_chunks()]
-                columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(sets, pa.binary())], ["doc_id", "label", "grams"]
-                )
+                sets = [s.astype(np.int32).tobytes() for s in gram_sets(rows.column("text"), sizes, bits)]
+                rows = rows.select(["label"]).append_column("slots", pa.array(sets, pa.binary()))
+                yield from rows.to_batches()
 
-    sample = labelled_sample(docs, labels, label, max_rows, 10)
-    sample = sample.select(F.col("doc_id").cast("string"), "label", "text")
-    rows = sample.mapInArrow(run, "doc_id string, label int, grams binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("grams", "ascending")])
-    truth = rows.column("label").to_numpy().astype(float)
-    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("grams")]
-    share = (truth.sum() + 1) / (len(truth) + 2)
-    slots = 1 << bits
-    if not 0 < truth.sum() < len(truth):
-        odds = float(np.log(share / (1 - share)))
-        return Model(np.zeros(slots, np.float32), odds, sizes, bits)
-    count = {c: np.ones(slots) for c in (0.0, 1.0)}
-    for s, t in zip(sets, truth):
-        count[t][s] += 1
-    toxic = truth.sum()
-    ratio = np.log(count[1.0] / (toxic + 2)) - np.log(count[0.0] / (len(truth) - toxic + 2))
-    weights, intercept = fit_sets(sets, truth, ratio)
-    return Model(weights.astype(np.float32), intercept, sizes, bits)
+    sample = labelled_sample(docs, labels, label, max_rows, 10).select("label", "text")
+    rows = cut(sample.mapInArrow(run, "label int, slots binary"))
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share_of_toxic = (toxic + 1) / (n + 2)
+    weights = np.zeros(1 << bits, np.float32)
+    if not 0 < toxic < n:
+        return Model(weights, float(np.log(share_of_toxic / (1 - share_of_toxic))), sizes, bits)
+    used, others, toxics = slot_counts(rows, min(least, max(1, n // 50)))
+    ratio = np.log((toxics + 1) / (toxic + 2)) - np.log((others + 1) / (n - toxic + 2))
+    found, intercept = fit_sets(rows, used, ratio, share_of_toxic)
+    weights[used] = found
+    return Model(weights, intercept, sizes, bits)
 
 
 def score(docs: DataFrame, model: Model, *, keep_text: bool = True) -> DataFrame:
