@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+from collections.abc import Callable
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def aside(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all columns but ``keep`` under names that clash with nothing, and what gives
+    a result of them its own columns back, in their order, and no others."""
+    own = df.columns
+    names = [c if c in keep else f"c{i}_{c}" for i, c in enumerate(own)]
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select([F.col(f"`{n}`") for n in names]).toDF(*own)
+
+    return df.toDF(*names), back
+
+
 def ddl(df: DataFrame, more: str) -> str:
     """The columns of df and some more, as a schema string."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
