@@ -1,11 +1,15 @@
 """Presentation operators over reports, with the SQL each must agree with."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from checks.report_checks import FLEET
 from checks.sample import CALENDAR_MONTH, READING_INSTANT, SCHEDULE_DAY
 from fleetwarden.operators import failures, fleet, maintenance, sensors
 from fleetwarden.operators import presentation as screen
+from fleetwarden.tables import Tables
 
 _DAY = f"DATE '{SCHEDULE_DAY}'"
 _BANDS = """CASE WHEN {v} >= 0 AND {v} < 50 THEN 'low' WHEN {v} >= 50 AND {v} < 80 THEN 'medium'
@@ -39,7 +43,20 @@ def _positions(select: str, order: str) -> str:
     return f"""SELECT row_number() OVER (ORDER BY {order}) AS position, * FROM ({select})"""
 
 
+def _with_nameless_failure(t: Tables) -> Tables:
+    """The tables with one more critical record, of a machine that isn't known."""
+    one = t.failure_records.where("Failure_Status = 1").orderBy("Failure_ID").limit(1)
+    nameless = one.withColumn("Machine_ID", F.lit(None).cast("string"))
+    return replace(t, failure_records=t.failure_records.unionByName(nameless))
+
+
 SCREENS = {
+    "operational_machine_count_nameless": (
+        lambda t: fleet.operational_machine_count(_with_nameless_failure(t)),
+        """SELECT COUNT(*) AS operational_count FROM machines WHERE Machine_ID NOT IN (
+        SELECT Machine_ID FROM failure_records WHERE Failure_Status = 1
+        UNION ALL SELECT CAST(NULL AS VARCHAR))""",
+    ),
     "maintenance_schedule_in_order": (
         lambda t: screen.with_position(
             maintenance.maintenance_schedule_upcoming_enriched(t, SCHEDULE_DAY),
