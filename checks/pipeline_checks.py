@@ -10,7 +10,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample import sample_tables, sample_views, wide_telemetry
+from checks.sample import sample_tables, sample_views, whole_feed, wide_telemetry
 from fleetwarden.functions.risk import failure_reasons
 from fleetwarden.operators import evaluation, features, ingest, scoring, sensors, training, trees
 from fleetwarden.plans.workspace import fresh_folder
@@ -27,13 +27,17 @@ def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_telemetry(spark, sample_tables(spark, sf_dir))
 
 
-def _over_telemetry(operator):
-    return lambda spark, sf_dir: operator(_telemetry(spark, sf_dir))
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_feed(spark, sample_tables(spark, sf_dir))
 
 
-def _telemetry_csv(spark: SparkSession, sf_dir: str) -> str:
+def _over_feed(operator):
+    return lambda spark, sf_dir: operator(_feed(spark, sf_dir))
+
+
+def _feed_csv(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_folder(spark, "telemetry") + "/machine_telemetry"
-    write_telemetry_csv(_telemetry(spark, sf_dir), path)
+    write_telemetry_csv(_feed(spark, sf_dir), path)
     return path
 
 
@@ -41,7 +45,7 @@ def machines_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines that failed before are known; telemetry updates them and adds others."""
     t = sample_tables(spark, sf_dir)
     known = t.machines.join(t.failure_records.select("Machine_ID"), "Machine_ID", "left_semi")
-    return ingest.upsert_machines(known, wide_telemetry(spark, t), ["Sensor_ID"])
+    return ingest.upsert_machines(known, whole_feed(spark, t), ["Sensor_ID"])
 
 
 def schedule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,19 +58,19 @@ def schedule_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_sensor_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = read_telemetry_csv(spark, _telemetry_csv(spark, sf_dir))
+    feed = read_telemetry_csv(spark, _feed_csv(spark, sf_dir))
     return ingest.to_sensor_data(feed.where(F.col(CORRUPT).isNull()))
 
 
 def etl_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole load, from a CSV to every table."""
-    csv, root = _telemetry_csv(spark, sf_dir), fresh_folder(spark, "warehouse")
+    csv, root = _feed_csv(spark, sf_dir), fresh_folder(spark, "warehouse")
     return ingest.run_etl(spark, csv, root).select("step", "table", "status", "rows")
 
 
 def etl_rerun_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines after two loads of which the first is run again: the second one's rows stay."""
-    feed, root = _telemetry(spark, sf_dir), fresh_folder(spark, "warehouse")
+    feed, root = _feed(spark, sf_dir), fresh_folder(spark, "warehouse")
     odd = F.col("Sensor_ID") % 3 == 1
     paths = {}
     for name, rows in (("first", feed.where(~odd)), ("second", feed.where(odd))):
@@ -79,7 +83,7 @@ def etl_rerun_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def etl_rollup_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly and daily reports of a warehouse of two loads, from the hours that loads keep."""
-    feed, root = _telemetry(spark, sf_dir), fresh_folder(spark, "warehouse")
+    feed, root = _feed(spark, sf_dir), fresh_folder(spark, "warehouse")
     odd = F.col("Sensor_ID") % 2 == 1
     for name, rows in (("first", feed.where(odd)), ("second", feed.where(~odd))):
         path = f"{fresh_folder(spark, 'telemetry')}/{name}"
@@ -103,7 +107,7 @@ _SENSORS = """Machine_ID, Timestamp, Temperature, Vibration, Pressure, Humidity,
 INGEST = {
     "etl_machines_upsert": (
         machines_upsert,
-        """, latest AS (SELECT * FROM telemetry QUALIFY
+        """, latest AS (SELECT * FROM feed QUALIFY
           row_number() OVER (PARTITION BY Machine_ID ORDER BY Sensor_ID DESC) = 1),
         known AS (SELECT * FROM machines
           WHERE Machine_ID IN (SELECT Machine_ID FROM failure_records))
@@ -117,15 +121,15 @@ INGEST = {
     ),
     "etl_rerun_order": (
         etl_rerun_order,
-        f"""SELECT Machine_ID, {", ".join(ingest.REPLACED)} FROM telemetry
+        f"""SELECT Machine_ID, {", ".join(ingest.REPLACED)} FROM feed
         QUALIFY row_number() OVER (PARTITION BY Machine_ID ORDER BY Sensor_ID % 3 = 1 DESC, Sensor_ID DESC) = 1""",
     ),
     "etl_rollup_reports": (
         etl_rollup_reports,
         """, hours AS (SELECT *, strftime(Timestamp, '%Y-%m-%d %H:00:00') AS hour,
-          CAST(Timestamp AS DATE) = (SELECT CAST(MAX(Timestamp) AS DATE) FROM telemetry) AS newest FROM telemetry),
+          CAST(Timestamp AS DATE) = (SELECT CAST(MAX(Timestamp) AS DATE) FROM feed) AS newest FROM feed),
         failed AS (SELECT * FROM hours
-          WHERE Machine_ID IN (SELECT Machine_ID FROM telemetry WHERE Failure_Status = 1)),
+          WHERE Machine_ID IN (SELECT Machine_ID FROM feed WHERE Failure_Status = 1)),
         cells AS (SELECT Machine_Type, hour, AVG(Vibration) AS v FROM hours WHERE newest GROUP BY 1, 2),
         grid AS (SELECT Machine_Type, hour FROM (SELECT DISTINCT Machine_Type FROM cells),
           (SELECT DISTINCT hour FROM cells))
@@ -141,42 +145,43 @@ INGEST = {
         UNION ALL SELECT 'anomaly', hour, AVG(Anomaly_Score) FROM hours
           WHERE Anomaly_Score IS NOT NULL GROUP BY 2""",
     ),
-    "etl_sensor_data": (_over_telemetry(ingest.to_sensor_data), f"SELECT {_SENSORS} FROM telemetry"),
-    "etl_csv_sensor_data": (csv_sensor_data, f"SELECT {_SENSORS} FROM telemetry"),
+    "etl_sensor_data": (_over_feed(ingest.to_sensor_data), f"SELECT {_SENSORS} FROM feed"),
+    "etl_csv_sensor_data": (csv_sensor_data, f"SELECT {_SENSORS} FROM feed"),
     "etl_failure_records": (
-        _over_telemetry(ingest.to_failure_records),
+        _over_feed(ingest.to_failure_records),
         """SELECT Machine_ID, Failure_Status, Failure_Type,
         COALESCE(Downtime, CAST(0 AS DOUBLE)) AS Downtime, Predicted_Failure_Probability,
-        Predicted_Failure_Time FROM telemetry WHERE Failure_Status = 1""",
+        Predicted_Failure_Time FROM feed WHERE Failure_Status = 1""",
     ),
     "etl_failure_records_all": (
-        _over_telemetry(lambda feed: ingest.to_failure_records(feed, include_all=True)),
+        _over_feed(lambda feed: ingest.to_failure_records(feed, include_all=True)),
         """SELECT Machine_ID, Failure_Status, Failure_Type,
         COALESCE(Downtime, CAST(0 AS DOUBLE)) AS Downtime, Predicted_Failure_Probability,
-        Predicted_Failure_Time FROM telemetry""",
+        Predicted_Failure_Time FROM feed""",
     ),
     "etl_maintenance_schedule": (
-        _over_telemetry(ingest.to_maintenance_schedule),
+        _over_feed(ingest.to_maintenance_schedule),
         """SELECT Machine_ID, Last_Maintenance_Date AS Scheduled_Date,
         COALESCE(Maintenance_Type, 'Unknown') AS Maintenance_Type,
         COALESCE(Maintenance_Cost, CAST(0 AS DOUBLE)) AS Estimated_Cost,
         COALESCE(Maintenance_Duration, CAST(0 AS DOUBLE)) AS Estimated_Duration
-        FROM telemetry WHERE Last_Maintenance_Date IS NOT NULL""",
+        FROM feed WHERE Last_Maintenance_Date IS NOT NULL""",
     ),
     "etl_anomaly_detection": (
-        _over_telemetry(ingest.to_anomaly_detection),
-        "SELECT Machine_ID, Timestamp, Anomaly_Score, Anomaly_Flag FROM telemetry",
+        _over_feed(ingest.to_anomaly_detection),
+        "SELECT Machine_ID, Timestamp, Anomaly_Score, Anomaly_Flag FROM feed",
     ),
     "etl_health_indicators": (
-        _over_telemetry(ingest.to_health_indicators),
+        _over_feed(ingest.to_health_indicators),
         """SELECT Machine_ID, Timestamp, 1 - Anomaly_Score AS Health_Score,
         COALESCE(Predicted_Failure_Probability, CAST(0 AS DOUBLE)) AS Failure_Probability
-        FROM telemetry""",
+        FROM feed""",
     ),
     "etl_failure_trends": (
-        _over_telemetry(ingest.to_failure_trends),
+        _over_feed(ingest.to_failure_trends),
         """SELECT Machine_Type, CAST(Timestamp AS DATE) AS Timestamp,
-        AVG(Failure_Status) AS Failure_Rate FROM telemetry GROUP BY 1, 2""",
+        AVG(Failure_Status) AS Failure_Rate FROM feed
+        WHERE Machine_Type IS NOT NULL AND Timestamp IS NOT NULL GROUP BY 1, 2""",
     ),
     "etl_assign_industry": (
         lambda spark, sf_dir: ingest.assign_industry(
@@ -194,17 +199,18 @@ INGEST = {
     "etl_run_report": (
         etl_run_report,
         """, counts AS (
-        SELECT 1 AS step, 'machines' AS "table", COUNT(DISTINCT Machine_ID) AS rows FROM telemetry
-        UNION ALL SELECT 2, 'sensor_data', COUNT(*) FROM telemetry
-        UNION ALL SELECT 3, 'failure_records', COUNT(*) FROM telemetry WHERE Failure_Status = 1
-        UNION ALL SELECT 4, 'maintenance_schedule', COUNT(*) FROM telemetry
+        SELECT 1 AS step, 'machines' AS "table", COUNT(DISTINCT Machine_ID) AS rows FROM feed
+        UNION ALL SELECT 2, 'sensor_data', COUNT(*) FROM feed
+        UNION ALL SELECT 3, 'failure_records', COUNT(*) FROM feed WHERE Failure_Status = 1
+        UNION ALL SELECT 4, 'maintenance_schedule', COUNT(*) FROM feed
           WHERE Last_Maintenance_Date IS NOT NULL
-        UNION ALL SELECT 5, 'anomaly_detection', COUNT(*) FROM telemetry
-        UNION ALL SELECT 6, 'machine_health_indicators', COUNT(*) FROM telemetry
+        UNION ALL SELECT 5, 'anomaly_detection', COUNT(*) FROM feed
+        UNION ALL SELECT 6, 'machine_health_indicators', COUNT(*) FROM feed
         UNION ALL SELECT 7, 'failure_trends', COUNT(*) FROM
-          (SELECT DISTINCT Machine_Type, CAST(Timestamp AS DATE) FROM telemetry)
+          (SELECT DISTINCT Machine_Type, CAST(Timestamp AS DATE) FROM feed
+            WHERE Machine_Type IS NOT NULL AND Timestamp IS NOT NULL)
         UNION ALL SELECT 8, 'sensor_hourly', COUNT(*) FROM
-          (SELECT DISTINCT Machine_ID, date_trunc('hour', Timestamp) FROM telemetry)
+          (SELECT DISTINCT Machine_ID, date_trunc('hour', Timestamp) FROM feed)
         UNION ALL SELECT 9, 'quarantine', 0)
         SELECT step, "table", 'loaded' AS status, rows FROM counts""",
     ),
@@ -382,10 +388,8 @@ def _request_sql(before: str = "", after: str = "") -> str:
 
 MODEL = {
     "failure_reasons": (
-        lambda spark, sf_dir: _telemetry(spark, sf_dir).select(
-            "Sensor_ID", _reasons_text().alias("reasons")
-        ),
-        f"SELECT Sensor_ID, {_REASONS_SQL} AS reasons FROM telemetry",
+        _over_feed(lambda feed: feed.select("Sensor_ID", _reasons_text().alias("reasons"))),
+        f"SELECT Sensor_ID, {_REASONS_SQL} AS reasons FROM feed",
     ),
     "scoring_requests_checked": (requests_checked, _request_sql()),
     "prepared_features": (prepared_features, _feature_sql()),

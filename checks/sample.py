@@ -126,6 +126,64 @@ FROM {sensor_data} s JOIN {machines} m ON s.Machine_ID = m.Machine_ID
 LEFT JOIN {last_failure} f ON s.Machine_ID = f.Machine_ID"""
 
 
+# The whole feed: the first failure record of a machine goes with its first reading and so on;
+# readings, records and machines that are left over have rows of their own. Sensor_ID numbers
+# rows without a reading too, after those that have one.
+_RECORD_ORDER = ", ".join(
+    f"{c} NULLS FIRST"
+    for c in (
+        "Failure_ID",
+        "Failure_Status",
+        "Failure_Type",
+        "Downtime",
+        "Predicted_Failure_Probability",
+        "Predicted_Failure_Time",
+    )
+)
+NUMBERED_READINGS = """
+SELECT *, row_number() OVER (PARTITION BY Machine_ID ORDER BY Sensor_ID) AS place FROM {sensor_data}"""
+NUMBERED_FAILURES = (
+    "SELECT *, row_number() OVER (PARTITION BY Machine_ID ORDER BY "
+    + _RECORD_ORDER
+    + ") AS place FROM {failure_records}"
+)
+EVENTS = """
+SELECT coalesce(s.Machine_ID, f.Machine_ID) AS Machine_ID, coalesce(s.place, f.place) AS place,
+  s.Sensor_ID, s.Timestamp, s.Temperature, s.Vibration, s.Pressure, s.Humidity, s.Voltage, s.Current,
+  s.Power_Consumption, s.Ambient_Temperature, s.Ambient_Humidity, s.Anomaly_Score, s.Anomaly_Flag,
+  f.Failure_Status, f.Failure_Type, f.Downtime, f.Predicted_Failure_Probability,
+  f.Predicted_Failure_Time
+FROM {numbered_readings} s
+FULL JOIN {numbered_failures} f ON s.Machine_ID = f.Machine_ID AND s.place = f.place"""
+KEYED_EVENTS = """
+SELECT coalesce(e.Machine_ID, m.Machine_ID) AS Machine_ID, m.Machine_Type, m.Installation_Date,
+  m.Age, m.Workload, m.Production_Rate, m.Operational_Hours, m.Last_Maintenance_Date,
+  m.Maintenance_Type, m.Maintenance_Cost, m.Maintenance_Duration, e.Timestamp, e.Temperature,
+  e.Vibration, e.Pressure, e.Humidity, e.Voltage, e.Current, e.Power_Consumption,
+  e.Ambient_Temperature, e.Ambient_Humidity, e.Anomaly_Score, e.Anomaly_Flag,
+  coalesce(e.Failure_Status, 0) AS Failure_Status, e.Failure_Type, e.Downtime,
+  e.Predicted_Failure_Probability, e.Predicted_Failure_Time,
+  coalesce(e.Sensor_ID, 10000000000 + 100000 * CAST(substr(coalesce(e.Machine_ID, m.Machine_ID), 9)
+    AS BIGINT) + coalesce(e.place, 0)) AS Sensor_ID
+FROM {events_of_machines} e FULL JOIN {machines} m ON e.Machine_ID = m.Machine_ID"""
+FEED_COLUMNS = (
+    "Machine_ID, Machine_Type, Installation_Date, Age, Workload, Production_Rate, "
+    "Operational_Hours + CAST(Sensor_ID % 1000 AS INT) AS Operational_Hours, Last_Maintenance_Date, "
+    "Maintenance_Type, Maintenance_Cost, Maintenance_Duration, Timestamp, Temperature, Vibration, "
+    "Pressure, Humidity, Voltage, Current, Power_Consumption, Ambient_Temperature, Ambient_Humidity, "
+    "Anomaly_Score, Anomaly_Flag, Failure_Status, Failure_Type, Downtime, "
+    "Predicted_Failure_Probability, Predicted_Failure_Time, Sensor_ID"
+)
+# View name -> (source views, text).
+FEED_VIEWS = {
+    "numbered_readings": (["sensor_data"], NUMBERED_READINGS),
+    "numbered_failures": (["failure_records"], NUMBERED_FAILURES),
+    "events_of_machines": (["numbered_readings", "numbered_failures"], EVENTS),
+    "keyed_events": (["events_of_machines", "machines"], KEYED_EVENTS),
+    "feed": (["keyed_events"], f"SELECT {FEED_COLUMNS} FROM {{keyed_events}}"),
+}
+
+
 def sample_views(spark: SparkSession, raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All sample views over the given raw tables."""
     frames = dict(raw)
@@ -143,8 +201,17 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{name: frames[name] for name in VIEWS})
 
 
+def whole_feed(spark: SparkSession, t: Tables) -> DataFrame:
+    """Every reading, failure record and machine as rows of the wide feed."""
+    frames = {n: getattr(t, n) for n in ("sensor_data", "failure_records", "machines")}
+    for name, (reads, text) in FEED_VIEWS.items():
+        frames[name] = spark.sql(text, **{r: frames[r] for r in reads})
+    return frames["feed"]
+
+
 def wide_telemetry(spark: SparkSession, t: Tables) -> DataFrame:
-    """The wide feed as a DataFrame; ``Sensor_ID`` gives its row order."""
+    """A reading of a known machine a row, with the machine's last failure record; a stream of
+    readings will do. ``Sensor_ID`` gives the order of rows."""
     last = spark.sql(LAST_FAILURE, failure_records=t.failure_records)
     return spark.sql(
         WIDE_TELEMETRY, sensor_data=t.sensor_data, machines=t.machines, last_failure=last
@@ -156,6 +223,7 @@ def oracle_prefix() -> str:
     texts = {name: (reads, text) for name, (reads, text) in VIEWS.items()}
     texts["last_failure"] = (["failure_records"], LAST_FAILURE)
     texts["telemetry"] = (["sensor_data", "machines", "last_failure"], WIDE_TELEMETRY)
+    texts |= FEED_VIEWS
     parts = [
         f"{name} AS ({text.strip().format(**{r: r for r in reads})})"
         for name, (reads, text) in texts.items()
