@@ -27,8 +27,10 @@ def hourly_sensor_averages(
     """Average of each sensor per hour, and per machine type when ``machines`` is given.
 
     The machine table is joined as a static side, after the readings of an hour are summed
-    by machine: a busy machine is one row an hour when it moves for the join.  In append
-    mode an hour is emitted once the watermark has passed its end.
+    by machine: a busy machine is one row an hour when it moves for the join.  Both sides are
+    shuffled: a stream has no adaptive execution to see how large the table is, and a broadcast
+    would pass all of it through the driver in every batch.  In append mode an hour is emitted
+    once the watermark has passed its end.
     """
     timed = with_event_time(readings, late_by)
     hour = F.window("event_time", HOUR).alias("hour")
@@ -40,7 +42,7 @@ def hourly_sensor_averages(
         keys = ["Machine_Type"]
         sums = [F.struct(F.sum(s).alias("sum"), F.count(s).alias("n")).alias(s) for s in sensors]
         by_machine = timed.groupBy(hour, MACHINE).agg(*sums, count)
-        typed = by_machine.join(machines.select(MACHINE, *keys), MACHINE)
+        typed = by_machine.join(machines.select(MACHINE, *keys).hint("merge"), MACHINE)
         averages = [F.try_divide(F.sum(f"{s}.sum"), F.sum(f"{s}.n")).alias(s) for s in sensors]
         averaged = typed.groupBy("hour", *keys).agg(*averages, F.sum("readings").alias("readings"))
     return averaged.select(

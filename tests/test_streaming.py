@@ -136,3 +136,19 @@ def test_new_queries_and_equal_instants_keep_every_row(spark, tmp_path, telemetr
         loaded = spark.read.parquet(f"{root}/{table}")
         assert loaded.count() == total and loaded.where(F.col(key).isNull()).count() == 0
     assert spark.read.parquet(f"{root}/sensor_data").select("Sensor_ID").distinct().count() == total
+
+
+def test_machine_table_of_the_hourly_stream_is_not_broadcast(spark, tmp_path):
+    _drop(_readings(spark, [("a", 10, 10.0), ("b", 20, 30.0), ("a", 400, 0.0)]), tmp_path)
+    machines = spark.createDataFrame([("a", "X"), ("b", "X")], "Machine_ID string, Machine_Type string")
+    stream = _source(spark, tmp_path, schemas.SENSOR_DATA)
+    averages = hourly.hourly_sensor_averages(stream, ["Temperature"], machines)
+    query = (
+        averages.writeStream.format("memory").queryName("typed_hours")
+        .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = spark.table("typed_hours").select("Machine_Type", "Temperature", "readings").collect()
+    assert [tuple(r) for r in found] == [("X", 20.0, 2)]
