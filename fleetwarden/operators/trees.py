@@ -6,6 +6,8 @@ so no feature vector and no list of levels is needed to score a row. Its size is
 model, whatever the data.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,40 +47,90 @@ def tree_table(spark: SparkSession, stage_path: str, features: DataFrame, depth:
 
 
 def _forest(trees: DataFrame) -> DataFrame:
-    """One row: all trees in order, each with its nodes in order."""
+    """One row: ``asked``, the different questions of all nodes, and ``trees`` in order.
+
+    A tree is arrays over its nodes in order: the place of its question, the threshold, where it
+    leads and the value. A leaf asks nothing and leads to itself. ``steps`` has an entry for each
+    level that the tree may have.
+    """
+    inner = F.col("left") != LEAF
     node = F.struct("node", "source", "level", "threshold", "left", "right", "leaf")
-    by_tree = trees.groupBy("tree", "weight", "depth").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    by_tree = trees.groupBy("tree", "weight", "depth").agg(
+        F.array_sort(F.collect_list(node)).alias("nodes"),
+        F.collect_set(F.when(inner, F.struct("source", "level"))).alias("questions"),
+    )
     tree = F.struct("tree", "weight", "depth", "nodes")
-    return by_tree.agg(F.array_sort(F.collect_list(tree)).alias("forest"))
+    forest = by_tree.agg(
+        F.array_sort(F.collect_list(tree)).alias("forest"),
+        F.array_distinct(F.flatten(F.collect_list("questions"))).alias("asked"),
+    )
+
+    def arrays(tree: Column) -> Column:
+        nodes = tree["nodes"]
+
+        def place(node: Column) -> Column:
+            question = F.struct(node["source"], node["level"])
+            return F.when(node["left"] != LEAF, F.array_position("asked", question) - 1).cast("int")
+
+        def child(side: str) -> Column:
+            return F.transform(nodes, lambda node, at: F.when(node["left"] == LEAF, at).otherwise(node[side]))
+
+        # No path is longer than the number of nodes that ask.
+        steps = F.least(tree["depth"], F.floor((F.size(nodes) - 1) / 2).cast("int"))
+        return F.struct(
+            tree["weight"].alias("weight"),
+            F.transform(nodes, place).alias("place"),
+            nodes["threshold"].alias("threshold"),
+            child("left").alias("left"),
+            child("right").alias("right"),
+            nodes["leaf"].alias("leaf"),
+            F.array_repeat(F.lit(0), steps).alias("steps"),
+        )
+
+    return forest.select("asked", F.transform("forest", arrays).alias("trees"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row.
+
+    A column that only a lambda reads is put into the lambda by the optimizer and would be
+    computed again for each element; a lambda's own argument is not.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def with_margin(rows: DataFrame, trees: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
     """``rows`` (with the raw columns) and ``margin``, the weighted sum over the trees in order.
 
     Every tree is walked from its root with higher-order functions on the row itself, without
-    multiplying rows; the trees come in as one value, as large as the model.
+    multiplying rows; the trees come in as one value, as large as the model. The questions of all
+    nodes are answered once a row, so that a step reads a few arrays by place.
     """
     numbers = F.create_map(*[x for n in numeric for x in (F.lit(n), cleaned(F.col(n)))])
     texts = F.create_map(*[x for n in CATEGORICAL for x in (F.lit(n), F.col(n))])
+    given = F.struct(numbers.alias("numbers"), texts.alias("texts"), F.col("_forest").alias("forest"))
 
-    def leaf_of(tree: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            node = F.get(tree["nodes"], at)
-            has_level = F.try_element_at(F.col("_texts"), node["source"]).eqNullSafe(node["level"])
-            value = F.when(node["level"].isNull(), F.try_element_at(F.col("_numbers"), node["source"])).otherwise(
-                has_level.cast("double")
-            )
-            down = F.when(value <= node["threshold"], node["left"]).otherwise(node["right"])
-            return F.when(node["left"] == LEAF, at).otherwise(down)
-
-        last = F.aggregate(F.sequence(F.lit(1), tree["depth"]), F.lit(0), step)
-        return F.get(tree["nodes"], last)["leaf"]
-
-    walked = rows.withColumns({"_numbers": numbers, "_texts": texts, "_forest": _forest(trees).scalar()})
-    margin = F.aggregate(
-        F.transform("_forest", lambda tree: tree["weight"] * leaf_of(tree)), F.lit(0.0), lambda a, b: a + b
-    )
-    return walked.withColumn("margin", margin).drop("_numbers", "_texts", "_forest")
+    def answers(given: Column) -> Column:
+        def answer(question: Column) -> Column:
+            has_level = F.try_element_at(given["texts"], question["source"]).eqNullSafe(question["level"])
+            number = F.try_element_at(given["numbers"], question["source"])
+            return F.when(question["level"].isNull(), number).otherwise(has_level.cast("double"))
+
+        return F.transform(given["forest"]["asked"], answer)
+
+    def total(values: Column, trees: Column) -> Column:
+        def leaf_of(tree: Column) -> Column:
+            def step(at: Column, _: Column) -> Column:
+                low = F.get(values, F.get(tree["place"], at)) <= F.get(tree["threshold"], at)
+                return F.when(low, F.get(tree["left"], at)).otherwise(F.get(tree["right"], at))
+
+            return F.get(tree["leaf"], F.aggregate(tree["steps"], F.lit(0), step))
+
+        return F.aggregate(trees, F.lit(0.0), lambda sum_, tree: sum_ + tree["weight"] * leaf_of(tree))
+
+    margin = _once(given, lambda g: _once(answers(g), lambda values: total(values, g["forest"]["trees"])))
+    forest = _forest(trees).select(F.struct("asked", "trees")).scalar()
+    return rows.withColumn("_forest", forest).withColumn("margin", margin).drop("_forest")
 
 
 def failure_probability(margin: Column) -> Column:

@@ -201,6 +201,15 @@ def test_trees_ask_for_levels_and_gaps(spark):
     assert {r["Machine_Type"]: r["margin"] for r in found} == {"a": 4.5, "b": 8.5, None: 2.5}
 
 
+def test_a_step_of_a_tree_computes_no_column_of_the_row_again(spark, small, trained):
+    table = training.load_trees(spark, trained[2])
+    walked = trees.with_margin(wide_telemetry(spark, small), table, features.NUMERIC)
+    plan = walked.select("margin")._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [text for text in plan.splitlines() if "aggregate(" in text]
+    assert "Age#" in line
+    assert "Age#" not in line[line.index("aggregate(") :]
+
+
 def test_a_half_written_version_is_not_seen(spark, small, trained, tmp_path):
     root = str(tmp_path / "models")
     telemetry = wide_telemetry(spark, small)
