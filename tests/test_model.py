@@ -210,6 +210,15 @@ def test_a_step_of_a_tree_computes_no_column_of_the_row_again(spark, small, trai
     assert "Age#" not in line[line.index("aggregate(") :]
 
 
+def test_training_keeps_no_table_of_node_ids(spark, trained):
+    model, spec, _ = trained
+    rows = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "Age double, label double")
+    vectors = FeatureSpec(("Age",), {}).with_vector(rows, "label")
+    kept = training.train_failure_classifier(vectors, rounds=1, depth=1)
+    assert not kept.stages[-1].getCacheNodeIds()
+    assert not model.stages[-1].getCacheNodeIds()
+
+
 def test_a_half_written_version_is_not_seen(spark, small, trained, tmp_path):
     root = str(tmp_path / "models")
     telemetry = wide_telemetry(spark, small)
