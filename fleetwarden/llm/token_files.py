@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetwarden.llm import text
-from fleetwarden.llm.frames import cut, share, shared
+from fleetwarden.llm.frames import cut, kept, share
 from fleetwarden.llm.units import UnitEncoder, spans
 
 BLOCK = 256
@@ -51,7 +51,7 @@ BLOCK = 256
 WITHIN = 0.9
 #: Ids after which a shard is closed.
 SHARD = 1 << 20
-#: Different units of text whose ids a task remembers.
+#: Different units of text whose ids a Python worker remembers.
 UNITS_KEPT = 600_000
 
 MAGIC = b"PFR1"
@@ -292,7 +292,7 @@ def write(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared(sent), pattern)
+        encoder = kept(sent, lambda definition: Encoder(definition, pattern))
         part, number, before, waiting = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []

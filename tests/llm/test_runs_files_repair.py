@@ -375,3 +375,31 @@ def test_damaged(spark):
         assert r.copies == {0: 0, 3: 2}.get(case, 1)
         assert r.role == ("user" if case == 4 else " " if null else "assistant")
         assert r.text == {1: "", 2: words.replace(".", "").replace("!", "")}.get(case, words)
+
+
+def test_the_encoder_stays_in_its_worker(spark, monkeypatch, tmp_path):
+    """Tasks of one Python worker learn on from each other, and the ids are the same."""
+    made = spark.sparkContext.accumulator(0)
+    plain = token_files.Encoder
+
+    def counted(*given):
+        made.add(1)
+        return plain(*given)
+
+    monkeypatch.setattr(token_files, "Encoder", counted)
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), "id").alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    settings_ = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings_.items():
+        spark.conf.set(key, value)
+    try:
+        token_files.write(docs, TOKENIZER, public_tokenizers.PATTERN, f"{tmp_path}/ids")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 <= made.value <= 32  # a worker for each core at once, not one for each of 64 tasks
+    known = Tokenizer.from_file(TOKENIZER)
+    rows = token_files.read(spark, f"{tmp_path}/ids").collect()
+    assert len(rows) == 64
+    for row in rows:
+        assert row["token_ids"] == [*known.encode(f"one two {row['doc_id']}", add_special_tokens=False).ids, 2]
