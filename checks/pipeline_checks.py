@@ -44,7 +44,9 @@ def _feed_csv(spark: SparkSession, sf_dir: str) -> str:
 def machines_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines that failed before are known; telemetry updates them and adds others."""
     t = sample_tables(spark, sf_dir)
-    known = t.machines.join(t.failure_records.select("Machine_ID"), "Machine_ID", "left_semi")
+    # Failure records are many to a machine: its id is enough, in the join and in a task's memory.
+    failed = t.failure_records.select("Machine_ID").distinct()
+    known = t.machines.join(failed, "Machine_ID", "left_semi")
     return ingest.upsert_machines(known, whole_feed(spark, t), ["Sensor_ID"])
 
 

@@ -344,3 +344,18 @@ def test_hot_machine_against_brute_force(skewed, request, rows, broadcast):
     assert fleet.operational_machine_count(skewed).first()[0] == sum(
         m.Machine_ID not in failed for m in machines
     )
+
+
+def test_upsert_query_joins_each_failed_machine_once(spark):
+    from checks.pipeline_checks import machines_upsert
+
+    plan = machines_upsert(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "Join LeftSemi" in line]
+    depth = lines[at].index("Join LeftSemi")
+    below = []
+    for line in lines[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    assert any("Aggregate [Machine_ID" in line for line in below)
