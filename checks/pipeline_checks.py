@@ -10,7 +10,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample import sample_tables, sample_views, whole_feed, wide_telemetry
+from checks.sample import last_failures, sample_tables, sample_views, whole_feed, wide_telemetry
 from fleetwarden.functions.risk import failure_reasons
 from fleetwarden.operators import evaluation, features, ingest, scoring, sensors, training, trees
 from fleetwarden.plans.workspace import fresh_folder
@@ -590,10 +590,18 @@ def _reading_stream(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide telemetry of a stream of readings.
+
+    Failure records are reduced to the last of each machine once, not in every batch; no
+    broadcast, since a stream would pick it on the size of compressed files.
+    """
     stream = _reading_stream(spark, sf_dir)["sensor_data"]
     t = sample_tables(spark, sf_dir)
+    path, last = fresh_folder(spark, "last-failures"), last_failures(spark, t)
+    last.write.parquet(path)
+    stored = spark.read.schema(last.schema).parquet(path).hint("merge")
     return wide_telemetry(
-        spark, type(t)(**{**t.__dict__, "sensor_data": stream})
+        spark, type(t)(**{**t.__dict__, "sensor_data": stream}), stored
     )
 
 

@@ -209,10 +209,16 @@ def whole_feed(spark: SparkSession, t: Tables) -> DataFrame:
     return frames["feed"]
 
 
-def wide_telemetry(spark: SparkSession, t: Tables) -> DataFrame:
+def last_failures(spark: SparkSession, t: Tables) -> DataFrame:
+    """The last failure record of each machine."""
+    return spark.sql(LAST_FAILURE, failure_records=t.failure_records)
+
+
+def wide_telemetry(spark: SparkSession, t: Tables, last: DataFrame | None = None) -> DataFrame:
     """A reading of a known machine a row, with the machine's last failure record; a stream of
-    readings will do. ``Sensor_ID`` gives the order of rows."""
-    last = spark.sql(LAST_FAILURE, failure_records=t.failure_records)
+    readings will do. ``Sensor_ID`` gives the order of rows; ``last`` is ``last_failures``, where
+    it is stored."""
+    last = last_failures(spark, t) if last is None else last
     return spark.sql(
         WIDE_TELEMETRY, sensor_data=t.sensor_data, machines=t.machines, last_failure=last
     )

@@ -29,11 +29,15 @@ def without_repeats(
     """Each row once, however often it is delivered within the lateness.
 
     ``delivery`` names the columns by which the source tells deliveries apart; without
-    it rows are repeats when all their columns agree.  State is keyed by these columns,
-    so one busy machine spreads over all partitions.
+    it rows are repeats when all their columns agree.  State is keyed by these columns, as a
+    digest of 128 bits, so one busy machine spreads over all partitions and a row is 16 bytes
+    of the key in the state, however wide it is.
     """
-    timed = with_event_time(telemetry, late_by)
-    return timed.dropDuplicatesWithinWatermark(delivery or telemetry.columns).drop("event_time")
+    # A hash passes nulls over, so it is told where they are.
+    parts = [part for c in delivery or telemetry.columns for part in (F.col(c), F.isnull(c))]
+    digest = {f"_digest{n}": F.xxhash64(F.lit(n), *parts) for n in range(2)}
+    timed = with_event_time(telemetry, late_by).withColumns(digest)
+    return timed.dropDuplicatesWithinWatermark(list(digest)).drop("event_time", *digest)
 
 
 def load_stream(

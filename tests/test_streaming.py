@@ -152,3 +152,15 @@ def test_machine_table_of_the_hourly_stream_is_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     found = spark.table("typed_hours").select("Machine_Type", "Temperature", "readings").collect()
     assert [tuple(r) for r in found] == [("X", 20.0, 2)]
+
+
+def test_state_of_repeats_is_a_digest_that_sees_where_nulls_are(spark, tmp_path, telemetry_rows):
+    source, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    row = telemetry_rows.limit(1).withColumns({"Temperature": F.lit(5.0), "Vibration": F.lit(None).cast("double")})
+    moved = row.withColumns({"Temperature": F.lit(None).cast("double"), "Vibration": F.lit(5.0)})
+    _drop(row.unionByName(row).unionByName(moved), source)
+    writer = stream_ingest.load_stream(_source(spark, source, telemetry_rows.schema), f"{tmp_path}/w")
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/w/sensor_data").count() == 2
+    keys = spark.read.format("statestore").load(state).schema["key"].dataType
+    assert [f.dataType.simpleString() for f in keys] == ["bigint", "bigint"]
