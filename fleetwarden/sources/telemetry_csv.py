@@ -11,6 +11,7 @@ from fleetwarden.functions.risk import (
     canonical_category,
 )
 from fleetwarden.schemas import TELEMETRY, TELEMETRY_HEADERS
+from fleetwarden.sources.warehouse import FILE_ROWS
 
 CORRUPT = "corrupt_record"
 SOURCE_ORDER = ("source_file", "source_offset", "Reading_ID")
@@ -78,9 +79,17 @@ def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_telemetry_csv(telemetry: DataFrame, path: str) -> None:
-    """Write telemetry rows as CSV files with the header of the wide feed."""
+def write_telemetry_csv(telemetry: DataFrame, path: str, *folders: str) -> None:
+    """Write telemetry rows as compressed CSV files with the header of the wide feed.
+
+    Further columns named in ``folders`` deal the rows into ``<name>=<value>`` folders in the
+    same pass.  Compressed files can't be split, so each is closed at ``FILE_ROWS`` rows.
+    """
     named = [F.col(known).alias(name) for name, known in TELEMETRY_HEADERS.items()]
-    telemetry.select(*named).write.option("header", True).option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    ).csv(path)
+    writer = telemetry.select(*named, *folders).write.options(
+        header=True,
+        compression="gzip",
+        maxRecordsPerFile=FILE_ROWS,
+        timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS",
+    )
+    (writer.partitionBy(*folders) if folders else writer).csv(path)

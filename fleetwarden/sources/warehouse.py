@@ -11,17 +11,25 @@ from pyspark.sql import types as T
 
 LOAD = "load_id"
 EVENT_DATE = "event_date"
+#: Rows after which a file that a later step reads is closed.  Readers pack files into tasks by
+#: their bytes and a fixed cost each, so without it well compressed rows make tasks of any size.
+FILE_ROWS = 100_000
 
 
 def load_path(root: str, table: str, load_id: str) -> str:
     return f"{root}/{table}/{LOAD}={load_id}"
 
 
-def write_counted(frame: DataFrame, path: str, *partitions: str) -> int:
-    """Replace ``path`` with the rows of ``frame``; returns how many were written."""
+def write_counted(frame: DataFrame, path: str, *partitions: str, file_rows: int = 0) -> int:
+    """Replace ``path`` with the rows of ``frame``; returns how many were written.
+
+    ``file_rows`` bounds the rows of a file; 0 for no bound.
+    """
     seen = Observation()
     counted = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    counted.write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy(
+        *partitions
+    ).parquet(path)
     return seen.get["rows"]
 
 

@@ -363,3 +363,17 @@ def test_written_csv_reads_back(spark, tmp_path):
     telemetry_csv.write_telemetry_csv(feed, str(tmp_path / "out"))
     again = read_telemetry_csv(spark, str(tmp_path / "out")).select(*schemas.TELEMETRY.names)
     assert again.collect() == feed.collect()
+
+
+def test_written_csv_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(telemetry_csv, "FILE_ROWS", 3)
+    rows = [reading(f"m{i}", "2024-01-01 10:00:00") for i in range(10)]
+    feed = read_telemetry_csv(spark, write_csv(tmp_path / "t.csv", rows))
+    dealt = feed.withColumn("load", F.when(F.col("Machine_ID") < "m4", "a").otherwise("b"))
+    telemetry_csv.write_telemetry_csv(dealt.coalesce(1), str(tmp_path / "out"), "load")
+    for load, files in (("a", 2), ("b", 2)):
+        names = [n for n in os.listdir(tmp_path / "out" / f"load={load}") if n.endswith(".csv.gz")]
+        assert len(names) == files
+        again = read_telemetry_csv(spark, str(tmp_path / "out" / f"load={load}"))
+        own = [r[0] for r in again.orderBy(*SOURCE_ORDER).select("Machine_ID").collect()]
+        assert own == [f"m{i}" for i in (range(4) if load == "a" else range(4, 10))]
