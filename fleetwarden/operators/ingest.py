@@ -13,6 +13,7 @@ from fleetwarden.plans.joins import MACHINE
 from fleetwarden.plans.rollups import hourly_sums
 from fleetwarden.sources import warehouse
 from fleetwarden.sources.bucketed import BucketedTable
+from fleetwarden.sources.commit_log import Files
 from fleetwarden.sources.loads import Load, LoadLog
 from fleetwarden.sources.telemetry_csv import CORRUPT, SOURCE_ORDER, read_telemetry_csv
 
@@ -211,15 +212,27 @@ def _default_load_id(path: str) -> str:
 
 
 def staged_telemetry(spark: SparkSession, root: str) -> DataFrame:
-    """The telemetry rows of all loads, good and corrupt."""
-    return warehouse.read_loads(spark, root, "telemetry", _STAGED)
+    """The telemetry rows of all loads, good and corrupt.
+
+    Folders are not taken for partitions, since loads of before have one for each day.
+    """
+    folder = f"{root}/telemetry"
+    if not Files(spark, folder).exists(folder):
+        return warehouse.read_loads(spark, root, "telemetry", _STAGED)
+    rows = spark.read.schema(_STAGED).option("recursiveFileLookup", True).parquet(folder)
+    place = F.regexp_extract(F.col("_metadata.file_path"), f"/{warehouse.LOAD}=([^/]+)/", 1)
+    load = F.url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))).alias(warehouse.LOAD)
+    day = F.to_date("Timestamp").alias(warehouse.EVENT_DATE)
+    return rows.select(*[n for n in _STAGED.names if n != warehouse.EVENT_DATE], day, load)
 
 
 def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> tuple[DataFrame, Load]:
     """Parse the CSV once into Parquet and return the staged rows, and the load in the log.
 
     The loads then read only the columns they need.  Rows are rebalanced by
-    day, with large days split, so daily partitions get few and even files.
+    day, with large days split, so each file has few days and the daily partitions that the
+    loads make of them get few and even files.  Files of bounded rows keep the tasks of the
+    loads, and what they sort, bounded too; the wide rows themselves are not sorted.
     Reading ids lie in a range that the log of loads gives to this run alone.
     """
     feed = read_telemetry_csv(spark, csv_path)
@@ -229,7 +242,7 @@ def _stage(spark: SparkSession, csv_path: str, root: str, load_id: str) -> tuple
     )
     path = warehouse.load_path(root, "telemetry", load_id)
     warehouse.write_counted(
-        numbered.hint("rebalance", warehouse.EVENT_DATE), path, warehouse.EVENT_DATE
+        numbered.hint("rebalance", warehouse.EVENT_DATE), path, file_rows=warehouse.FILE_ROWS
     )
     return spark.read.schema(_STAGED).parquet(path), load
 

@@ -71,13 +71,18 @@ class CommitLog:
         self.spark, self.folder, self.schema = spark, folder, schema
         self.files = Files(spark, folder)
 
+    def _empty(self) -> bool:
+        return not any(name.endswith(".json") for name in self.files.names(self.folder))
+
     def rows(self) -> DataFrame:
         """The entries as a table."""
-        if not any(name.endswith(".json") for name in self.files.names(self.folder)):
+        if self._empty():
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).json(self.folder)
 
     def entries(self) -> list[dict]:
+        if self._empty():
+            return []
         return sorted((r.asDict(True) for r in self.rows().collect()), key=lambda e: e["n"])
 
     def append(self, make: Callable[[list[dict]], dict | None]) -> dict | None:

@@ -377,3 +377,20 @@ def test_written_csv_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch
         again = read_telemetry_csv(spark, str(tmp_path / "out" / f"load={load}"))
         own = [r[0] for r in again.orderBy(*SOURCE_ORDER).select("Machine_ID").collect()]
         assert own == [f"m{i}" for i in (range(4) if load == "a" else range(4, 10))]
+
+
+def test_staged_files_have_bounded_rows(spark, tmp_path, monkeypatch):
+    """Readers pack files by bytes, so rows that compress well would make tasks of any size."""
+    monkeypatch.setattr(ingest.warehouse, "FILE_ROWS", 3)
+    rows = [reading(f"m{i}", "2024-01-01 10:00:00") for i in range(10)]
+    ingest.run_etl(spark, write_csv(tmp_path / "t.csv", rows), str(tmp_path / "w")).collect()
+    folder = f"{tmp_path}/w/telemetry"
+    files = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    sizes = [r[0] for r in files.groupBy("_metadata.file_path").count().select("count").collect()]
+    assert sum(sizes) == 10 and max(sizes) <= 3
+    # Loads of before lie in folders of days.
+    files.drop("event_date").write.parquet(f"{folder}/load_id=a old/event_date=2024-01-01")
+    staged = ingest.staged_telemetry(spark, str(tmp_path / "w"))
+    assert staged.schema.names[-2:] == ["event_date", "load_id"]
+    found = {tuple(map(str, r)) for r in staged.groupBy("load_id", "event_date").count().collect()}
+    assert found == {("t.csv", "2024-01-01", "10"), ("a old", "2024-01-01", "10")}
