@@ -41,6 +41,19 @@ def _feed_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _two_feeds(
+    spark: SparkSession, feed: DataFrame, in_second: Column, *order: str
+) -> dict[str, str]:
+    """The folders of a first and a second feed, which one pass writes, each in ``order``."""
+    path = fresh_folder(spark, "telemetry")
+    load = F.when(in_second, "second").otherwise("first").alias("load")
+    rows = feed.select("*", load)
+    if order:
+        rows = rows.repartitionByRange("load", *order).sortWithinPartitions("load", *order)
+    write_telemetry_csv(rows, path, "load")
+    return {name: f"{path}/load={name}" for name in ("first", "second")}
+
+
 def machines_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines that failed before are known; telemetry updates them and adds others."""
     t = sample_tables(spark, sf_dir)
@@ -73,24 +86,17 @@ def etl_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def etl_rerun_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines after two loads of which the first is run again: the second one's rows stay."""
     feed, root = _feed(spark, sf_dir), fresh_folder(spark, "warehouse")
-    odd = F.col("Sensor_ID") % 3 == 1
-    paths = {}
-    for name, rows in (("first", feed.where(~odd)), ("second", feed.where(odd))):
-        paths[name] = f"{fresh_folder(spark, 'telemetry')}/{name}"
-        write_telemetry_csv(rows.orderBy("Sensor_ID"), paths[name])
+    paths = _two_feeds(spark, feed, F.col("Sensor_ID") % 3 == 1, "Sensor_ID")
     for name in ("first", "second", "first"):
-        ingest.run_etl(spark, paths[name], root)
+        ingest.run_etl(spark, paths[name], root, load_id=name)
     return Tables.from_warehouse(spark, root).machines.drop("Industry")
 
 
 def etl_rollup_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly and daily reports of a warehouse of two loads, from the hours that loads keep."""
     feed, root = _feed(spark, sf_dir), fresh_folder(spark, "warehouse")
-    odd = F.col("Sensor_ID") % 2 == 1
-    for name, rows in (("first", feed.where(odd)), ("second", feed.where(~odd))):
-        path = f"{fresh_folder(spark, 'telemetry')}/{name}"
-        write_telemetry_csv(rows, path)
-        ingest.run_etl(spark, path, root)
+    for name, path in _two_feeds(spark, feed, F.col("Sensor_ID") % 2 == 0).items():
+        ingest.run_etl(spark, path, root, load_id=name)
     t = Tables.from_warehouse(spark, root)
     parts = [
         sensors.sensor_trends_hourly_failed_machines(t).select("name", "timestamp", "value"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import pipeline_checks
 from fleetwarden import Tables, schemas
 from fleetwarden.operators import fleet, ingest, maintenance, sensors
 from fleetwarden.sources import telemetry_csv
@@ -394,3 +395,16 @@ def test_staged_files_have_bounded_rows(spark, tmp_path, monkeypatch):
     assert staged.schema.names[-2:] == ["event_date", "load_id"]
     found = {tuple(map(str, r)) for r in staged.groupBy("load_id", "event_date").count().collect()}
     assert found == {("t.csv", "2024-01-01", "10"), ("a old", "2024-01-01", "10")}
+
+
+def test_two_loads_come_from_one_pass_over_the_feed(spark, monkeypatch):
+    passes = []
+    plain = pipeline_checks.write_telemetry_csv
+
+    def counted(*given):
+        passes.append(given)
+        plain(*given)
+
+    monkeypatch.setattr(pipeline_checks, "write_telemetry_csv", counted)
+    assert pipeline_checks.etl_rerun_order(spark, "/root/testdata/sf0.001").count() == 200
+    assert len(passes) == 1
