@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -51,6 +52,36 @@ def test_ngram_join(small, make, edges, monkeypatch, block, part):
     assert rows_of(ngram_join.similar_documents(make(edges))) == brute.linked(edges)
 
 
+def test_blocks_send_fewer_messages_than_there_are_blocks(make, monkeypatch):
+    monkeypatch.setattr(rarity, "BLOCK", 1000)
+    rng = random.Random(5)
+    docs = make([(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for i in range(300)])
+    blocked, blocks = rarity.in_blocks(docs)
+    assert blocks > 32
+    bits, own = rarity.key_bits(blocks), lambda rows: ngram_join.gram_sets(rows, 1)
+    answers = rarity.count_codes(blocked, blocks, own)
+    sent = answers.groupBy("block").count().agg(F.max("count")).first()[0]
+    assert sent <= blocks / 2
+
+    def codes(rows, told):
+        grams = np.concatenate(list(own(rows)))
+        keys, found = rarity.Keys(grams, bits), rarity.codes_of(grams, bits, told)
+        same = keys.codes(told)[keys.find(grams)] == found
+        return pa.table({"gram": grams.view(np.int64), "code": found.astype(np.int32), "same": same})
+
+    found = blocked.groupBy("block").cogroup(answers.groupBy("block"))
+    found = found.applyInArrow(codes, "gram long, code int, same boolean").groupBy("gram")
+    rows = found.agg(F.count("*").alias("n"), F.collect_set("code").alias("codes"), F.min("same").alias("same"))
+    for r in rows.collect():
+        assert r.same and r.codes == [rarity.code(np.array([r.n]))[0]]
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [1, 255], [256, 3, 70_000], [2**63, 2**40 + 1, 0]):
+        values = np.array(values, np.uint64)
+        assert rarity.unpack(rarity.pack(values)).tolist() == values.tolist()
+
+
 def test_ngram_join_chain_of_near_copies(make):
     rng = random.Random(4)
     words, rows = [f"w{i}" for i in range(120)], []
