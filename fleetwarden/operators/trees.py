@@ -6,14 +6,18 @@ so no feature vector and no list of levels is needed to score a row. Its size is
 model, whatever the data.
 """
 
+import math
+from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwarden.operators.features import CATEGORICAL, cleaned
 
 LEAF = -1
+#: Nodes of all trees that are written out as one expression at most; more are walked as arrays.
+WRITTEN_OUT = 20_000
 
 
 def tree_table(spark: SparkSession, stage_path: str, features: DataFrame, depth: int) -> DataFrame:
@@ -99,12 +103,73 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _double(value: float | None) -> str:
+    """A number as SQL."""
+    if value is None or not math.isfinite(value):
+        return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{value}' AS DOUBLE)"
+    return f"{value!r}D"
+
+
+def _written_out(
+    nodes: list[Row], numeric: tuple[str, ...]
+) -> tuple[list[tuple[str | None, str | None]], list[str]]:
+    """The different questions of the nodes, and the SQL of each tree's part of the margin, in order.
+
+    The SQL reads the answer to question i as ``asked.a<i>``. The numbers come first, asked or not.
+    """
+    questions = {(name, None): i for i, name in enumerate(dict.fromkeys(numeric))}
+    by_tree = defaultdict(list)
+    for node in nodes:
+        by_tree[node["tree"], node["weight"], node["depth"]].append(
+            tuple(node[c] for c in ("node", "source", "level", "threshold", "left", "right", "leaf"))
+        )
+
+    def walk(tree: list[tuple], weight: float, at: int, steps: int) -> str:
+        _, source, level, threshold, left, right, leaf = tree[at]
+        if left == LEAF or not steps:
+            return _double(None if leaf is None else weight * leaf)
+        answer = f"asked.a{questions.setdefault((source, level), len(questions))}"
+        low, high = (walk(tree, weight, child, steps - 1) for child in (left, right))
+        return f"CASE WHEN {answer} <= {_double(threshold)} THEN {low} ELSE {high} END"
+
+    parts = []
+    for (_, weight, depth), tree in sorted(by_tree.items(), key=lambda item: item[0]):
+        tree.sort(key=lambda node: [(value is not None, value) for value in node])
+        # No path is longer than the number of nodes that ask.
+        parts.append(walk(tree, weight, 0, min(depth, (len(tree) - 1) // 2)))
+    return list(questions), parts
+
+
 def with_margin(rows: DataFrame, trees: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
     """``rows`` (with the raw columns) and ``margin``, the weighted sum over the trees in order.
 
-    Every tree is walked from its root with higher-order functions on the row itself, without
-    multiplying rows; the trees come in as one value, as large as the model. The questions of all
-    nodes are answered once a row, so that a step reads a few arrays by place.
+    The questions of all nodes are answered once a row, and every tree is walked from its root on
+    the row itself, without multiplying rows. The trees are read while the column is built; those
+    of up to ``WRITTEN_OUT`` nodes become an expression, in which a step down a tree is one
+    comparison with a constant. Larger ones come in as one value.
+    """
+    nodes = trees.limit(WRITTEN_OUT + 1).collect()
+    if len(nodes) > WRITTEN_OUT:
+        return _with_margin_of_arrays(rows, trees, numeric)
+    questions, parts = _written_out(nodes, numeric)
+
+    def answer(source: str | None, level: str | None) -> Column:
+        if level is None:
+            return cleaned(F.col(source)) if source in numeric else F.lit(None).cast("double")
+        return F.col(source).eqNullSafe(level).cast("double") if source in CATEGORICAL else F.lit(0.0)
+
+    answers = F.struct(F.lit(0.0), *[answer(*q).alias(f"a{i}") for i, q in enumerate(questions)])
+    # The struct is the argument of a lambda so that it is computed once a row; see ``_once``.
+    parts = ", ".join(parts) or "0.0D"
+    walk = f"aggregate(array({parts}), 0.0D, (total, part) -> total + part)"
+    margin = F.expr(f"transform(array(_asked), asked -> {walk})[0]")
+    return rows.withColumn("_asked", answers).withColumn("margin", margin).drop("_asked")
+
+
+def _with_margin_of_arrays(rows: DataFrame, trees: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
+    """``with_margin`` by higher-order functions over the trees as one value, as large as the model.
+
+    The questions of all nodes are answered once a row, so that a step reads a few arrays by place.
     """
     numbers = F.create_map(*[x for n in numeric for x in (F.lit(n), cleaned(F.col(n)))])
     texts = F.create_map(*[x for n in CATEGORICAL for x in (F.lit(n), F.col(n))])

@@ -201,6 +201,26 @@ def test_trees_ask_for_levels_and_gaps(spark):
     assert {r["Machine_Type"]: r["margin"] for r in found} == {"a": 4.5, "b": 8.5, None: 2.5}
 
 
+def test_trees_written_out_give_the_margins_of_the_arrays(spark, small, trained, monkeypatch):
+    table = training.load_trees(spark, trained[2])
+    rows = wide_telemetry(spark, small).withColumn("Age", F.when(F.col("Sensor_ID") % 7 > 0, F.col("Age")))
+    rows = rows.withColumn("Humidity", F.when(F.col("Sensor_ID") % 5 > 0, F.col("Humidity")).otherwise("NaN"))
+
+    def margins(nodes):
+        found = trees.with_margin(rows, nodes, features.NUMERIC)
+        assert found.columns == [*rows.columns, "margin"]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        return {r["Sensor_ID"]: r["margin"] for r in found.collect()}, "array_repeat" in plan or "scalar-subquery" in plan
+
+    written, by_arrays = margins(table)
+    assert not by_arrays and len(written) == rows.count()
+    none, _ = margins(table.where("false"))
+    assert set(none.values()) == {0.0}
+    monkeypatch.setattr(trees, "WRITTEN_OUT", 2)
+    walked, by_arrays = margins(table)
+    assert by_arrays and walked == written
+
+
 def test_a_step_of_a_tree_computes_no_column_of_the_row_again(spark, small, trained):
     table = training.load_trees(spark, trained[2])
     walked = trees.with_margin(wide_telemetry(spark, small), table, features.NUMERIC)
